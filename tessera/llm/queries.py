@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import bpe, chat, minhash, mixing, quality_rules, records, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_token_records": records.op4_token_records,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_chat": chat.op6_chat,
+    "op7_bpe": bpe.op7_bpe,
+    "op8_warc": warc.op8_warc,
 }
 
 ORACLE_SQL = {
     "op1_minhash": minhash.SQL,
+    "op3_mixing": mixing.SQL,
+    "op6_chat": chat.SQL,
+    "op8_warc": warc.SQL,
 }
