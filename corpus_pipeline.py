@@ -1,15 +1,58 @@
-"""From raw documents to token ids. Filled in stage by stage."""
+"""From raw documents to token ids: classify, filter by rules, drop near copies, mix sources, encode.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as
+Parquet in the shared folder and rereads it as the next stage's docs. All stages but the
+last return the columns they were given.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, classifier, minhash, mixing, quality_rules
+from tessera.llm.common import written
+
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised quality classifier does not reject."""
+    _, scorer = classifier.learn(docs)
+    return classifier.kept_rows(docs, scorer)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the compression bands."""
+    return quality_rules.kept_rows(docs)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of near copies (five words, 0.8)."""
+    return minhash.kept_rows(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix at the target weights, in training order; a document stands once for each copy."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian uint32) of each document of the mix, in its order."""
+    vocabulary = public_tokenizers.path(VOCABULARY)
+    out = bpe.encoded(docs, vocabulary, bpe.build_lexicon(docs, vocabulary))
+    return out.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids")
+
+
+STAGES = [("classify", classify), ("rules", rules), ("dedup", dedup), ("mix", mix), ("encode", encode)]
 
-STAGES: list = []
+#: Weak labels, zstandard and byte-pair merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

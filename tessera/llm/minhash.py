@@ -176,7 +176,7 @@ def _verify(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, drop_sets: bool = True) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text, ...).
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their
@@ -226,6 +226,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, drop_set
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def kept_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that near_duplicates() keeps.
+
+    Of rows that share a doc_id and are kept, one stays for each distinct text; rows of a
+    null doc_id count as one id here.
+    """
+    no_id = F.lit(-(2**63)).cast("long")
+    kept = near_duplicates(docs, width, percent).where("kept").select(F.coalesce("doc_id", no_id).alias("_id")).distinct()
+    rows = docs.select(F.coalesce("doc_id", no_id).alias("_id"), F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
+    # one exchange by _id serves the join and the distinct rows
+    return rows.join(kept, "_id", "left_semi").dropDuplicates(["_id", "_text"]).select("_row.*")
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 

@@ -93,5 +93,16 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_judge, SCHEMA)
 
 
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that quality_rules() keeps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            verdict = pa.Table.from_batches(_judge([batch.select(["doc_id", "text"])]))["kept"]
+            yield batch.filter(verdict.combine_chunks() if verdict.num_chunks else pa.array([], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
