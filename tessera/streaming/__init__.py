@@ -1,0 +1 @@
+"""No operator of the inventory is a streaming one; the planner takes batch DataFrames."""
