@@ -166,19 +166,22 @@ class Planner:
             group.append("_interval_no")
             if INTERVAL not in df.columns:
                 df = self._deal(df, [frame_of(x) for x in members], intervals)
-        conditions = [self.column(t) for t in dict.fromkeys(tests.values()) if t is not None]
-        if None not in tests.values() and conditions:
+        conditions = [self._all(t) for t in dict.fromkeys(tests.values()) if t]
+        if () not in tests.values() and conditions:
             any_of = conditions[0]
             for c in conditions[1:]:
                 any_of = any_of | c
             df = df.where(any_of)  # pushed down to the scan where it only uses the table's own columns
         return df.groupBy(*group).agg(*[c for x in self._aggregates(members, tests, picked) for c in x]).select(*group, *[self._result(x).alias(self.name(x)) for x in members])
 
-    def _test(self, frame: n.Frame) -> n.Series | None:
-        """The conjunction of a frame's filters."""
-        out = None
-        for c in n.conditions(frame.source if isinstance(frame, n.Pick) else frame):
-            out = c if out is None else n.Call("and", (out, c))
+    def _test(self, frame: n.Frame) -> tuple[n.Series, ...]:
+        """A frame's filters, innermost first."""
+        return tuple(n.conditions(frame.source if isinstance(frame, n.Pick) else frame))
+
+    def _all(self, tests: tuple[n.Series, ...], leaf=None) -> Column:
+        out = compile_series(tests[0], leaf or self._leaf)
+        for t in tests[1:]:
+            out = out & compile_series(t, leaf or self._leaf)
         return out
 
     def _deal(self, df: DataFrame, frames: list[n.Frame], intervals) -> DataFrame:
@@ -191,9 +194,9 @@ class Planner:
             out = None
             for f in frames:
                 t = self._test(f)
-                if t is None:
+                if not t:
                     return F.lit(True)
-                c = F.coalesce(compile_series(t, leaf), F.lit(False))
+                c = F.coalesce(self._all(t, leaf), F.lit(False))
                 out = c if out is None else out | c
             return out
 
@@ -204,7 +207,7 @@ class Planner:
         done = set()
         for x in members:
             t = tests[x]
-            on = (lambda c: c) if t is None else (lambda c, t=t: F.when(self.column(t), c))
+            on = (lambda c, t=t: F.when(self._all(t), c)) if t else (lambda c: c)
             frame = frame_of(x)
             if isinstance(frame, n.Pick):
                 if frame not in done:
@@ -243,9 +246,19 @@ class Planner:
 
     # ------------------------------------------------------------ whole queries
 
-    def universe(self, predicate: n.Series) -> DataFrame:
-        """Every patient for whom the predicate can be true: ids of one table that it requires, else of all that it reads."""
-        must = _required(predicate)
+    def universe(self, predicate: n.Series, wanted: list[n.Series], picked, known: set) -> DataFrame:
+        """Every patient for whom the predicate can be true.
+
+        If it requires a row that a leaf of level 0 counts, that leaf's aggregation gives the
+        patients, together with all other leaves of level 0 on the table. Else: the ids of
+        the one table that it requires, or of all that it reads.
+        """
+        leaf = _required(predicate)
+        must = None if leaf is None else n.base_table(frame_of(leaf))
+        if leaf in wanted and self.level(leaf) == 0 and not self.timed(leaf):
+            members = [x for x in wanted if self.level(x) == 0 and not self.timed(x) and n.base_table(frame_of(x)) == must]
+            known |= set(members)
+            return self.one_scan(must, members, None, picked, False, None)
         tables = [must] if must is not None else list(dict.fromkeys(x for x in n.walk(predicate) if isinstance(x, (n.Table, n.InlineTable))))
         if not tables:
             return self.spark.createDataFrame([], "patient_id bigint")
@@ -258,7 +271,8 @@ class Planner:
     def population(self, predicate: n.Series, outputs: Iterable[n.Node]) -> tuple[DataFrame, dict, set]:
         outputs = list(outputs)
         picked, known = self.picked_columns([predicate, *outputs]), set()
-        patients = self.add(self.universe(predicate), self.closure([predicate]), picked, known)
+        patients = self.universe(predicate, self.closure([predicate, *(x for x in outputs if n.is_patient(x))]), picked, known)
+        patients = self.add(patients, self.closure([predicate]), picked, known)
         return patients.where(self.column(predicate)), picked, known
 
     def dataset(self, predicate: n.Series, variables: dict[str, n.Series], events: dict[str, dict[str, n.Series]] | None = None) -> dict[str, DataFrame]:
@@ -277,7 +291,7 @@ class Planner:
             need = [self.name(x) for x in leaves(*rows)]
             table = table.join(side.select(PID, *need), PID) if need else table.join(side.select(PID), PID, "left_semi")
             test = self._test(frame)
-            table = table if test is None else table.where(self.column(test))
+            table = table.where(self._all(test)) if test else table
             out[name] = table.select(PID, *[self.column(x).cast(spark_type(x.type)).alias(c) for c, x in cols.items()])
         return out
 
@@ -286,7 +300,8 @@ class Planner:
         roots = [predicate, *outputs.values()]
         picked, known = self.picked_columns(roots), set()
         wanted = self.closure(roots)
-        patients = self.add(self.universe(predicate), [x for x in wanted if not self.timed(x)], picked, known)
+        patients = self.universe(predicate, [x for x in wanted if not self.timed(x)], picked, known)
+        patients = self.add(patients, [x for x in wanted if not self.timed(x)], picked, known)
         patients = patients.withColumn(INTERVAL, F.explode(interval_array(intervals))).withColumn("_interval_no", F.col(f"{INTERVAL}.no"))
         patients = self.add(patients, wanted, picked, known, intervals=intervals)
         ends = [F.col(f"{INTERVAL}.start").alias("interval_start"), F.col(f"{INTERVAL}.end").alias("interval_end")]
@@ -297,17 +312,15 @@ def interval_array(intervals) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("no"), literal(a).alias("start"), literal(b).alias("end")) for i, (a, b) in enumerate(intervals)])
 
 
-def _required(predicate: n.Series) -> n.Frame | None:
-    """A table in which a patient must have a row for the predicate to be true."""
+def _required(predicate: n.Series) -> n.Series | None:
+    """A leaf that must have found a row for the predicate to be true; of a patient table, if there is one."""
     if isinstance(predicate, n.Call) and predicate.fn == "and":
-        found = [t for t in map(_required, predicate.args) if t is not None]
-        return next((t for t in found if t.one_row), found[0] if found else None)
-    if isinstance(predicate, n.Aggregate) and predicate.kind == "exists":
-        return n.base_table(predicate.source)
-    if isinstance(predicate, n.Column) and n.is_patient(predicate):
-        return n.base_table(predicate.frame)
+        found = [x for x in map(_required, predicate.args) if x is not None]
+        return next((x for x in found if n.base_table(frame_of(x)).one_row), found[0] if found else None)
+    if isinstance(predicate, n.Aggregate) and predicate.kind == "exists" or isinstance(predicate, n.Column) and n.is_patient(predicate):
+        return predicate
     if isinstance(predicate, n.Call) and predicate.fn in ("eq", "ne", "lt", "le", "gt", "ge", "contains"):
         for a in predicate.args:
             if isinstance(a, n.Column) or isinstance(a, n.Aggregate) and a.kind in ("min", "max", "sum", "mean"):
-                return n.base_table(frame_of(a))
+                return a
     return None

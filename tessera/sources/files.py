@@ -118,7 +118,7 @@ def read_table(spark: SparkSession, path: str, schema: n.Schema | None = None) -
         import pyarrow as pa
 
         return spark.createDataFrame(pa.ipc.open_file(path).read_all())
-    df = spark.read.csv(path, header=True, nullValue="", emptyValue="", enforceSchema=False)
+    df = spark.read.csv(path, header=True, nullValue="", emptyValue="", escape='"', enforceSchema=False)
     for name, d in (("patient_id", n.ColumnDef(int)), *(schema.columns if schema else ())):
         if name in df.columns:
             c = F.col(name)
