@@ -54,7 +54,7 @@ def fold(events: DataFrame) -> DataFrame:
         "conv_id",
         F.element_at("ev", 1)["seq"].alias("seq"),
         "message_id",
-        F.array_compact(F.transform("ev", lambda e: e["role"]))[0].alias("role"),
+        F.get(F.array_compact(F.transform("ev", lambda e: e["role"])), F.lit(0)).alias("role"),
         F.array_join(F.transform(last, lambda e: e["text"]), "").alias("text"),
     )
 
