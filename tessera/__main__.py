@@ -1,6 +1,7 @@
 """python -m tessera COMMAND DEFINITION: runs definition files.
 
-generate-dataset, generate-measures, explain, serialize-definition, assure. What follows
+generate-dataset, generate-measures, create-dummy-tables, explain, serialize-definition, assure.
+Without --tables, datasets and measures are made from dummy tables. What follows
 ``--`` are parameters for get_parameter(), as --name value.
 """
 
@@ -16,8 +17,9 @@ from .measures import Measures
 from .permissions import PermissionsError
 from .sources.files import FileValidationError
 
-#: Exit statuses: a definition that fails to load, one that is refused, a file that does not fit, a missing permission.
-LOAD, DEFINITION, FILES, PERMISSION = 10, 11, 12, 13
+#: Exit statuses: a definition that fails to load or is refused, a file that does not fit, a missing permission, a failed assurance test.
+LOAD = DEFINITION = 10
+FILES, PERMISSION, ASSURANCE = 11, 12, 13
 
 
 def load(path: str, name: str, kind: type):
@@ -34,7 +36,7 @@ def arguments(argv: list[str]) -> tuple[argparse.Namespace, dict[str, str]]:
         raise SystemExit("parameters are given as -- --name value ...")
     parser = argparse.ArgumentParser(prog="tessera", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("generate-dataset", "generate-measures", "explain", "serialize-definition", "assure"):
+    for name in ("generate-dataset", "generate-measures", "create-dummy-tables", "explain", "serialize-definition", "assure"):
         c = commands.add_parser(name)
         c.add_argument("definition")
         c.add_argument("--tables", help="folder with one file for each table")
@@ -60,7 +62,18 @@ def run(argv: list[str]) -> None:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("tessera").getOrCreate()
-    engine = session.Engine(spark, Catalog(spark, args.tables), semi_join=args.semi_join)
+    if args.command == "create-dummy-tables":
+        from .dummy import dummy_tables
+
+        write_tables(dummy_tables(spark, definition), args.output or f"{args.tables}/:csv")
+        return
+    if args.tables is None and args.command.startswith("generate"):
+        from .dummy import dummy_tables
+
+        frames = dummy_tables(spark, definition)
+        engine = session.Engine(spark, lambda t: frames[t.name])
+    else:
+        engine = session.Engine(spark, Catalog(spark, args.tables), semi_join=args.semi_join)
     if args.command == "explain":
         engine.explain(definition)
     elif args.command == "assure":
@@ -72,7 +85,7 @@ def run(argv: list[str]) -> None:
             for x in items:
                 print("  ", x)
         if any(found.values()):
-            raise SystemExit(1)
+            raise SystemExit(ASSURANCE)
     else:
         tables = {"measures": engine.measures(definition)} if of_measures else engine.tables(definition)
         write_tables(tables, args.output) if args.output else write_console(tables)

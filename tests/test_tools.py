@@ -65,3 +65,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["generate-dataset", str(tmp_path / "none.py")]) == cli.DEFINITION
     with pytest.raises(SystemExit):
         cli.main(["unknown"])
+
+
+def test_dummy_tables(spark):
+    from tessera import Engine
+    from tessera.dummy import dummy_tables
+
+    d = create_dataset()
+    d.define_population((patients.age_on("2020-01-01") >= 40) & (patients.sex == "female") & clinical_events.where(clinical_events.snomedct_code == "123456789").exists_for_patient())
+    d.configure_dummy_data(population_size=15)
+    d.n = clinical_events.count_for_patient()
+    frames = dummy_tables(spark, d)
+    assert Engine(spark, lambda t: frames[t.name]).dataset(d).count() == 15
+    assert {r.sex for r in frames["patients"].collect()} == {"female"} and all(r.date_of_birth.day == 1 for r in frames["patients"].collect())
+    again = dummy_tables(spark, d)
+    assert sorted(map(tuple, again["patients"].collect()), key=str) == sorted(map(tuple, frames["patients"].collect()), key=str)
