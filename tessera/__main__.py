@@ -15,6 +15,7 @@ from . import session
 from .language import Dataset, Error
 from .measures import Measures
 from .permissions import PermissionsError
+from .plans.specs import output_options
 from .sources.files import FileValidationError
 
 #: Exit statuses: a definition that fails to load or is refused, a file that does not fit, a missing permission, a failed assurance test.
@@ -88,7 +89,8 @@ def run(argv: list[str]) -> None:
             raise SystemExit(ASSURANCE)
     else:
         tables = {"measures": engine.measures(definition)} if of_measures else engine.tables(definition)
-        write_tables(tables, args.output) if args.output else write_console(tables)
+        options = output_options(dict(definition._variables)) if len(tables) == 1 and not of_measures else {}
+        write_tables(tables, args.output, **options) if args.output else write_console(tables)
 
 
 def main(argv: list[str]) -> int:

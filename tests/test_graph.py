@@ -172,3 +172,15 @@ def test_codelists(tmp_path):
         codelist_from_csv(f, column="nope")
     with pytest.raises(FileNotFoundError):
         codelist_from_csv(tmp_path / "none.csv", column="code")
+
+
+def test_what_is_known_of_outputs():
+    from tessera.plans.specs import ColumnSpec, output_options, spec_of
+    from tessera.tables.core import clinical_events, patients
+
+    assert spec_of(patients.sex._node).categories == ("female", "male", "intersex", "unknown")
+    assert spec_of(clinical_events.count_for_patient()._node) == ColumnSpec(int, False, None, 0, 65_535)
+    assert spec_of(case(when(p.b1).then("x"), when(p.b2).then("y"), otherwise="x")._node).categories == ("x", "y")
+    assert spec_of(case(when(p.b1).then("x"), otherwise=p.s1)._node).categories is None
+    assert not spec_of(e.exists_for_patient()._node).nullable and spec_of(p.i1._node).nullable
+    assert output_options({"s": patients.sex._node, "n": e.count_for_patient()._node}) == {"categories": {"s": ("female", "male", "intersex", "unknown")}, "ranges": {"n": (0, 65_535)}}
