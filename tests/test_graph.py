@@ -184,3 +184,24 @@ def test_what_is_known_of_outputs():
     assert spec_of(case(when(p.b1).then("x"), otherwise=p.s1)._node).categories is None
     assert not spec_of(e.exists_for_patient()._node).nullable and spec_of(p.i1._node).nullable
     assert output_options({"s": patients.sex._node, "n": e.count_for_patient()._node}) == {"categories": {"s": ("female", "male", "intersex", "unknown")}, "ranges": {"n": (0, 65_535)}}
+
+
+def test_rewrites():
+    from tessera.plans import rewrites
+
+    @table
+    class sometimes(EventFrame):
+        class _meta:
+            activation_filter_field = "on"
+
+        on = Series(bool)
+        x = Series(int)
+
+    @table
+    class opted_out(PatientFrame):
+        x = Series(int)
+
+    predicate, variables = rewrites.both(rewrites.only_active, rewrites.without(opted_out))(sometimes.exists_for_patient()._node, {"v": sometimes.where(sometimes.x > 1).x.sum_for_patient()._node})
+    active = sometimes.where(sometimes.on)
+    assert predicate == (active.exists_for_patient() & ~opted_out.exists_for_patient())._node
+    assert variables["v"] == active.where(active.x > 1).x.sum_for_patient()._node
