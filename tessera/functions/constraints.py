@@ -11,6 +11,9 @@ from dataclasses import dataclass
 class Categorical:
     values: tuple
 
+    def __post_init__(self):
+        object.__setattr__(self, "values", tuple(self.values))
+
     def holds(self, v) -> bool:
         return v is None or v in self.values
 
@@ -71,6 +74,9 @@ class DateAfter:
 
     column_names: tuple[str, ...]
 
+    def __post_init__(self):
+        object.__setattr__(self, "column_names", tuple(self.column_names))
+
     def holds(self, v: datetime.date | None) -> bool:
         return True
 

@@ -7,6 +7,7 @@ import datetime
 from ..functions.codes import SNOMEDCTCode
 from ..functions.constraints import Constraint
 from ..language import EventFrame, PatientFrame, Series, table
+from . import core
 from .core import clinical_events, medications, ons_deaths
 
 __all__ = ["clinical_events", "medications", "ons_deaths", "patients", "practice_registrations", "vaccinations"]
@@ -15,11 +16,11 @@ __all__ = ["clinical_events", "medications", "ons_deaths", "patients", "practice
 @table
 class patients(PatientFrame):
     date_of_birth = Series(datetime.date, constraints=[Constraint.FirstOfMonth(), Constraint.NotNull()])
-    sex = Series(str, constraints=[Constraint.Categorical(("female", "male", "intersex", "unknown")), Constraint.NotNull()])
+    sex = Series(str, constraints=[Constraint.Categorical(["female", "male", "unknown"]), Constraint.NotNull()])
     date_of_death = Series(datetime.date)
     registration_start_date = Series(datetime.date, constraints=[Constraint.NotNull()])
     registration_end_date = Series(datetime.date)
-    practice_pseudo_id = Series(str)
+    practice_pseudo_id = Series(str, constraints=[Constraint.NotNull()])
     rural_urban_classification = Series(int, constraints=[Constraint.ClosedRange(1, 8)])
     imd_rounded = Series(int, constraints=[Constraint.ClosedRange(0, 32_800, 100)])
 
@@ -32,10 +33,8 @@ class patients(PatientFrame):
 
 
 @table
-class practice_registrations(EventFrame):
-    start_date = Series(datetime.date, constraints=[Constraint.NotNull()])
-    end_date = Series(datetime.date)
-    practice_pseudo_id = Series(str)
+class practice_registrations(core.practice_registrations.__class__):
+    """Only the current registration is held."""
 
 
 @table
