@@ -134,6 +134,9 @@ class Planner:
             for x in (x for x in wanted if self.level(x) == level):
                 groups.setdefault((n.base_table(frame_of(x)), self.timed(x)), []).append(x)
             for (table, timed), members in groups.items():
+                if not timed and leaves(*(y for x in members for y in inner(x))):
+                    patients = self.extended(table, members, patients, picked)
+                    continue
                 part = self.one_scan(table, members, patients, picked, semi, intervals if timed else None)
                 patients = patients.join(part, [PID, "_interval_no"] if timed else PID, "left")
                 zero = {"exists": F.lit(False), "count": F.lit(0), "count_distinct": F.lit(0), "episodes": F.lit(0)}
@@ -148,9 +151,7 @@ class Planner:
         if table.one_row:
             cols = [F.col(x.name).alias(self.name(x)) if isinstance(x, n.Column) else (F.lit(True) if x.kind == "exists" else F.lit(1).cast("bigint")).alias(self.name(x)) for x in members]
             return df.select(PID, *cols)
-        used = {x.name for x in n.walk(*members) if isinstance(x, n.Column) and not n.is_patient(x) and n.base_table(x.frame) == table}
-        used |= {c for x in members if isinstance(f := frame_of(x), n.Pick) for c in picked.get(f, ())}
-        df = df.select(PID, *[F.col(c).alias("_e_" + c) for c in sorted(used - {PID})], *([F.col(PID).alias("_e_" + PID)] if PID in used else []))
+        df = self.rows(table, members, picked)
         lower = leaves(*(y for x in members for y in inner(x)))
         if lower:  # an event row of a patient outside the population is of no use
             need = [self.name(x) for x in lower]
@@ -172,7 +173,33 @@ class Planner:
             for c in conditions[1:]:
                 any_of = any_of | c
             df = df.where(any_of)  # pushed down to the scan where it only uses the table's own columns
-        return df.groupBy(*group).agg(*[c for x in self._aggregates(members, tests, picked) for c in x]).select(*group, *[self._result(x).alias(self.name(x)) for x in members])
+        return df.groupBy(*group).agg(*self._aggregates(members, tests, picked)).select(*group, *[self._result(x).alias(self.name(x)) for x in members])
+
+    def rows(self, table: n.Frame, members: list[n.Series], picked) -> DataFrame:
+        """The columns of ``table`` that the members use, under names of their own."""
+        used = {x.name for x in n.walk(*members) if isinstance(x, n.Column) and not n.is_patient(x) and n.base_table(x.frame) == table}
+        used |= {c for x in members if isinstance(f := frame_of(x), n.Pick) for c in picked.get(f, ())}
+        return self.base(table).select(PID, *[F.col(c).alias("_e_" + c) for c in sorted(used)])
+
+    def extended(self, table: n.Frame, members: list[n.Series], patients: DataFrame, picked) -> DataFrame:
+        """``patients`` with members whose rows or values depend on columns that it has already.
+
+        One join and one aggregation on the patient, in which ``patients`` occurs once: were
+        it also joined to the result, each further layer would double the plan.
+        """
+        tests = {x: self._test(frame_of(x)) for x in members}
+        events = self.rows(table, members, picked).withColumnRenamed(PID, "_event_pid").withColumn("_hit", F.lit(True))
+        on = F.col(PID) == F.col("_event_pid")
+        conditions = [self._all(t) for t in dict.fromkeys(tests.values()) if t]
+        if () not in tests.values() and conditions:
+            any_of = conditions[0]
+            for c in conditions[1:]:
+                any_of = any_of | c
+            on = on & any_of
+        kept = [c for c in patients.columns if c != PID]
+        both = patients.join(events, on, "left").groupBy(PID)
+        out = both.agg(*[F.first(c).alias(c) for c in kept], *self._aggregates(members, tests, picked, F.col("_hit")))
+        return out.select(PID, *kept, *[self._result(x).alias(self.name(x)) for x in members])
 
     def _test(self, frame: n.Frame) -> tuple[n.Series, ...]:
         """A frame's filters, innermost first."""
@@ -203,20 +230,23 @@ class Planner:
         dealt = df.withColumn(INTERVAL, F.explode(F.filter(interval_array(intervals), hit)))
         return dealt.withColumn("_interval_no", F.col(f"{INTERVAL}.no"))
 
-    def _aggregates(self, members, tests, picked):
-        done = set()
+    def _aggregates(self, members, tests, picked, hit: Column | None = None) -> list[Column]:
+        """``hit``: true for rows that are there, where a left join adds rows of nulls."""
+        out, done = [], set()
         for x in members:
-            t = tests[x]
-            on = (lambda c, t=t: F.when(self._all(t), c)) if t else (lambda c: c)
+            test = self._all(tests[x]) if tests[x] else None
+            test = hit if test is None else test if hit is None else hit & test
+            on = (lambda c: c) if test is None else (lambda c, test=test: F.when(test, c))
             frame = frame_of(x)
             if isinstance(frame, n.Pick):
                 if frame not in done:
                     done.add(frame)
-                    yield [self._pick(frame, on, picked.get(frame, ())).alias(self.name(frame))]
+                    out.append(self._pick(frame, on, picked.get(frame, ())).alias(self.name(frame)))
                 continue
             value = self.column(x.source) if isinstance(x.source, n.Series) else F.lit(1)
             fn = {"exists": F.count, "count": F.count, "count_distinct": F.collect_set, "set": F.collect_set, "episodes": F.collect_set, "min": F.min, "max": F.max, "sum": F.sum, "mean": F.avg}[x.kind]
-            yield [fn(on(value)).alias("_a" + self.name(x))]
+            out.append(fn(on(value)).alias("_a" + self.name(x)))
+        return out
 
     def _pick(self, frame: n.Pick, on, columns) -> Column:
         """The first or last row as a struct; null if no row passes the filters. Nulls sort first, as in structs."""
