@@ -3,7 +3,8 @@
 A record is: payload length (uint64), masked CRC of those 8 bytes (uint32), payload,
 masked CRC of the payload (uint32), all little-endian. The mask rotates a CRC right by
 15 bits and adds a constant, so that a CRC stored beside data is not taken for data. A
-payload is the document id (int64, or the least int64 for null) and its token ids (uint32).
+payload is the document id (int64, or the least int64 for null), the bytes of a token id
+(uint8: 2 if the vocabulary allows it, else 4) and the token ids.
 Each data file part-N.rec has an index part-N.idx: the byte offset of each record and the
 number of ids before it in the file (pairs of uint64), for reads in any order.
 
@@ -13,8 +14,9 @@ is run again replaces its file as a whole.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,10 @@ from .common import filesystem, scratch_path, table
 
 MASK_DELTA = 0xA282EAD8
 NO_ID = -(2**63)
-#: Distinct words whose ids a worker keeps before it starts anew.
-WORDS_KEPT = 300_000
+#: Distinct words whose ids a worker keeps before it starts anew, and bytes of text whose new words are encoded together.
+WORDS_KEPT, TOGETHER = 400_000, 1 << 20
+PUNCTUATION = re.compile(rb"(?<=[a-z0-9])([.,;:!?])")
+WORD_END = "</w>"
 
 
 def masked_crc(data: bytes) -> int:
@@ -53,11 +57,14 @@ def unframe(data, at: int = 0) -> tuple[bytes, int]:
 
 
 class WordIds(dict):
-    """Ids of white-space-delimited words by the tokenizers library, as uint32 bytes.
-
-    The library's normalizer maps characters and composes none across white space, and no
-    token of its splitter or special token holds any, so a text's ids are those of
-    its words in a row; every distinct word is encoded once.
+    """Ids by the tokenizers library, as little-endian uint32 bytes; every distinct word is encoded once.
+
+    The library's normalizer lower-cases characters and composes none across white space, its
+    splitter cuts between letters or digits and such punctuation as PUNCTUATION and
+    drops white space, and it holds no special string with white space. So the ids of
+    a text are those of its pieces, cut at ASCII white space and before PUNCTUATION after
+    an ASCII letter or digit, with A-Z lower-cased; texts in which a special string
+    could stand are only cut at white space.
     """
 
     def __init__(self, vocabulary: str):
@@ -69,17 +76,49 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.size = self.tokenizer.get_vocab_size()
+        self.ends = np.zeros(self.size, bool)
+        for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = word.endswith(WORD_END)
+
+    def cut(self, text: bytes) -> list[bytes]:
+        return text.split() if b"<|" in text else PUNCTUATION.sub(rb" \1", text.lower()).split()
 
-    def encode(self, text: bytes) -> bytes:
-        words = text.decode().split()
+    def learn(self, words: set[bytes]) -> None:
         if len(self) > WORDS_KEPT:
             self.clear()
-        new = list({w for w in words if w not in self})
-        for i in range(0, len(new), 1024):
-            part = new[i : i + 1024]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+        new, plain, other = words.difference(self), [], []
+        for w in new:
+            (plain if w.isalpha() or not w.isascii() and w.decode().isalpha() else other).append(w)
+        encode = self.tokenizer.encode_batch_fast
+        for i in range(0, len(plain), 256):  # words of letters: a line of them is cut where tokens end words
+            part = plain[i : i + 256]
+            ids = np.asarray(encode([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.nonzero(self.ends[ids])[0] + 1
+            if len(ends) == len(part):
+                flat, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.update((w, flat[x:y]) for w, x, y in zip(part, cuts, cuts[1:]))
+            else:
+                other += part
+        for i in range(0, len(other), 256):
+            part = other[i : i + 256]
+            for w, e in zip(part, encode([w.decode() for w in part], add_special_tokens=False)):
                 self[w] = np.asarray(e.ids, np.uint32).tobytes()
-        return b"".join([self[w] for w in words])
+
+    def encode_all(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        waiting, size = [], 0
+        for text in texts:
+            waiting.append(self.cut(text))
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._ids(waiting)
+                waiting, size = [], 0
+        yield from self._ids(waiting)
+
+    def _ids(self, cut: list[list[bytes]]) -> list[bytes]:
+        self.learn({w for words in cut for w in words})
+        get = self.__getitem__
+        return [b"".join(map(get, words)) for words in cut]
 
 
 def _write(folder: str, vocabulary: str, end_id: int):
@@ -96,16 +135,19 @@ def _write(folder: str, vocabulary: str, end_id: int):
         name = f"part-{task.partitionId():06d}"
         tries = [f"{base}/.{name}-{task.taskAttemptId()}{x}" for x in (".rec", ".idx")]
         ids, end = WordIds(vocabulary), np.uint32(end_id).tobytes()
+        width = np.uint16 if max(ids.size - 1, end_id) < 2**16 else np.uint32
         rows = tokens = offset = 0
         index: list[int] = []
         with fs.open_output_stream(tries[0]) as out:
             while first is not None:
-                for doc, text in zip(first["doc_id"].to_pylist(), first["text"].cast(pa.binary())):
-                    body = ids.encode(text.as_py() or b"") + end
-                    record = frame((NO_ID if doc is None else doc).to_bytes(8, "little", signed=True) + body)
+                texts = (t.as_py() or b"" for t in first["text"].cast(pa.binary()))
+                for doc, body in zip(first["doc_id"].to_pylist(), ids.encode_all(texts)):
+                    body = np.frombuffer(body + end, np.uint32).astype(width)
+                    head = (NO_ID if doc is None else doc).to_bytes(8, "little", signed=True) + bytes([body.itemsize])
+                    record = frame(head + body.tobytes())
                     out.write(record)
                     index += (offset, tokens)
-                    rows, tokens, offset = rows + 1, tokens + len(body) // 4, offset + len(record)
+                    rows, tokens, offset = rows + 1, tokens + len(body), offset + len(record)
                 first = next(batches, None)
         with fs.open_output_stream(tries[1]) as out:
             out.write(np.asarray(index, np.uint64).tobytes())
@@ -149,8 +191,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     which = int.from_bytes(payload[:8], "little", signed=True)
                     doc.append(None if which == NO_ID else which)
                     start.append(f["start"] + before)
-                    n.append(len(payload) // 4 - 2)
-                    crc.append(zlib.crc32(payload[8:]))
+                    ids = np.frombuffer(payload, {2: np.uint16, 4: np.uint32}[payload[8]], offset=9)
+                    n.append(len(ids))
+                    crc.append(zlib.crc32(ids.astype(np.uint32).tobytes()))
             if len(doc) != f["docs"]:
                 raise ValueError(f"{path}: {len(doc)} records, {f['docs']} were written")
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
