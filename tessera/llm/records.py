@@ -161,12 +161,13 @@ def _write(folder: str, vocabulary: str, end_id: int):
 def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> DataFrame:
     """Writes ``docs`` (doc_id, text, ...) in ascending doc_id order; (part, path, docs, tokens, start) of each file.
 
-    Null ids come first, equal ids are ordered by text, null texts are empty and still
+    Null ids come first, equal ids are ordered by a hash of the text, null texts are empty and still
     get ``end_id``. Other columns are not read. The list of files meets in one task: one
     row a file.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # the range bounds are sampled to the driver, so the tie-break is a hash and not the text
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     files = rows.mapInArrow(_write(folder, vocabulary, end_id), "part long, path string, docs long, tokens long").collect()
     before, listed = 0, []
     for f in sorted(files, key=lambda f: f.part):
