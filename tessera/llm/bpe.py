@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Frequent words that the lexicon holds; results do not depend on it.
 LEXICON = 32_768
 #: Distinct words that a worker counts, or keeps ids of, before it starts anew.
-COUNTED, KEPT = 500_000, 250_000
+COUNTED, KEPT = 500_000, 300_000
+#: Characters of text that are cut into words before their new words are looked up together.
+TOGETHER = 1 << 20
+#: Above every packed rank.
+NEVER = 1 << 60
 
 
 def byte_letters() -> list[str]:
@@ -55,6 +60,8 @@ class Merges:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        # the same as whole numbers: a << 20 | b to rank << 20 | id, so that a plain min() finds the next merge
+        self.packed = {a << 20 | b: rank << 20 | i for (a, b), (rank, i) in self.pairs.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         size = 1 + max([*vocab.values(), *self.special.values()])
         self.bytes_of = [b""] * size
@@ -68,21 +75,17 @@ class Merges:
         ids = [self.byte_ids[b] for b in word]
         if len(ids) > 64:
             return self._merge_long(ids)
-        get = self.pairs.get
-        found = [get(p) for p in zip(ids, ids[1:])]
-        while True:
-            best, at = None, -1
-            for i, f in enumerate(found):
-                if f is not None and (best is None or f[0] < best):
-                    best, at = f[0], i
-            if at < 0:
-                return ids
-            ids[at : at + 2] = [found[at][1]]
+        get = self.packed.get
+        found = [get(a << 20 | b, NEVER) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) < NEVER:
+            at = found.index(best)
+            ids[at : at + 2] = [best & 0xFFFFF]
             del found[at]
             if at:
-                found[at - 1] = get((ids[at - 1], ids[at]))
+                found[at - 1] = get(ids[at - 1] << 20 | ids[at], NEVER)
             if at < len(found):
-                found[at] = get((ids[at], ids[at + 1]))
+                found[at] = get(ids[at] << 20 | ids[at + 1], NEVER)
+        return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap over a linked list, in n log n."""
@@ -209,8 +212,8 @@ class Lexicon:
             depth += 1
         return out
 
-    def ids_at(self, place: int) -> np.ndarray:
-        return self.ids[self.offset[place] : self.offset[place + 1]]
+    def ids_at(self, place: int) -> list[int]:
+        return self.ids[self.offset[place] : self.offset[place + 1]].tolist()
 
 
 class Encoder(dict):
@@ -225,26 +228,39 @@ class Encoder(dict):
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.merges.special, key=len, reverse=True))) + ")").split if self.merges.special else None
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
+        if len(self) > KEPT:
+            self.clear()
+        new = list(words.difference(self))
         raw = [w.encode() for w in new]
         places = self.lexicon.find(raw).tolist() if self.lexicon else [-1] * len(new)
+        merge, ids_at = self.merges.merge, self.lexicon.ids_at if self.lexicon else None
         for word, b, place in zip(new, raw, places):
-            self[word] = np.asarray(self.merges.merge(b) if place < 0 else self.lexicon.ids_at(place), np.uint32).tobytes()
+            self[word] = array("I", merge(b) if place < 0 else ids_at(place)).tobytes()
 
-    def encode(self, text: str) -> bytes:
+    def cut(self, text: str) -> list[list[str] | bytes]:
+        """The words of a text, in lists between the ids of special strings."""
         special = self.merges.special
-        parts = self.split(text) if self.split and any(s in text for s in special) else [text]
-        out = []
-        for part in parts:
-            if part in special:
-                out.append(np.uint32(special[part]).tobytes())
-                continue
-            words = self.words(part)
-            if len(self) > KEPT:
-                self.clear()
-            self.learn(set(words))
-            out += [self[w] for w in words]
-        return b"".join(out)
+        if not self.split or not any(s in text for s in special):
+            return [self.words(text)]
+        return [array("I", [special[p]]).tobytes() if p in special else self.words(p) for p in self.split(text)]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        waiting, size = [], 0
+        for text in texts:
+            waiting.append(self.cut(text))
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._ids(waiting)
+                waiting, size = [], 0
+        yield from self._ids(waiting)
+
+    def _ids(self, cut: list[list[list[str] | bytes]]) -> list[bytes]:
+        self.learn({w for parts in cut for p in parts if not isinstance(p, bytes) for w in p})
+        get = self.__getitem__
+        return [b"".join([p if isinstance(p, bytes) else b"".join(map(get, p)) for p in parts]) for parts in cut]
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
 
     def decode(self, ids: bytes) -> str:
         table = self.merges.bytes_of
@@ -292,7 +308,7 @@ def encoded(docs: DataFrame, vocabulary: str, lexicon: str | None = None) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary, lexicon)
         for batch in batches:
-            ids = [encoder.encode(t.as_py() or "") for t in batch["text"]]
+            ids = list(encoder.encode_all(t.as_py() or "" for t in batch["text"]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary()), pa.array(map(encoder.decode, ids), pa.string())], names=["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
