@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, scratch_path, table
+from .common import drop, filesystem, scratch_path, table, written
 
 #: The byte-level pattern that cuts a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -285,9 +285,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, n: int = LEXICON) -> list[bytes]:
-    """The ``n`` most frequent words of all texts, sorted; ties go to the smaller word."""
-    counts = docs.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return sorted(r.word.encode() for r in counts.orderBy(F.desc("n"), "word").limit(n).collect())
+    """The most frequent words of all texts, sorted: at most ``n``, whatever the size of the corpus.
+
+    Counts fall into classes a tenth of an octave wide, of which there are a few hundred; the
+    words of the highest classes that hold ``n`` together are taken. Words met once are left out.
+    """
+    counted = docs.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    grade = F.floor(10 * F.log2("n")).cast("int")
+    counts = written(counted.where("n > 1").select("word", grade.alias("grade")), "words")
+    left, least = n, None
+    for r in sorted(counts.groupBy("grade").count().collect(), key=lambda r: -r.grade):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.grade
+    words = [] if least is None else sorted(r.word.encode() for r in counts.where(F.col("grade") >= least).select("word").collect())
+    drop(counts)
+    return words
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, n: int = LEXICON) -> str:
