@@ -28,6 +28,8 @@ TABLES, HASHES, WIDTH = 40, 20, 3.58
 COSINE = 0.9
 #: Most classes of a block; a bucket of up to two blocks is one tile.
 BLOCK = 1024
+#: Numbers that tiles compared together hold, about.
+ROOM = 1 << 20
 
 
 def projections(dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,34 +88,82 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def spanning(mask: np.ndarray) -> np.ndarray:
-    """The smallest index reachable from each one over the symmetric link matrix."""
-    label = np.arange(len(mask))
+    """The smallest index reachable from each one over symmetric link matrices (the last two axes)."""
+    m = mask.shape[-1]
+    label = np.broadcast_to(np.arange(m), mask.shape[:-1])
     while True:
-        low = np.minimum(label, np.where(mask, label[None, :], len(mask)).min(1, initial=len(mask)))
-        low = low[low]
+        low = np.minimum(label, np.where(mask, label[..., None, :], m).min(-1, initial=m))
+        low = np.take_along_axis(low, low, -1)
         if (low == label).all():
             return label
         label = low
 
 
+def compare(cosine: float, keys, rep, weight, vector, key, own, whole):
+    """Links of tiles of one size: arrays of (tiles, rows, ...); own: each row's block; whole: the tile is one block.
+
+    Yields (rep, links, near) for the rows that have links first met in this table.
+    """
+    mask = np.matmul(vector, vector.transpose(0, 2, 1)) >= cosine
+    m = mask.shape[1]
+    mask[:, np.arange(m), np.arange(m)] = False
+    mask &= whole[:, None, None] | (own[:, :, None] != own[:, None, :])
+    at = np.nonzero(mask.any((1, 2)))[0]  # most tiles hold no link at all
+    if not len(at):
+        return None
+    mask, keys, rep, weight = mask[at], keys[at], rep[at], weight[at]
+    which = (keys[:, 0, :] == key[at, None]).argmax(1)
+    for t in range(TABLES - 1):
+        later = np.nonzero(which > t)[0]
+        if len(later):
+            k = keys[later, :, t]
+            mask[later] &= k[:, :, None] != k[:, None, :]
+    links = np.matmul(mask, weight[:, :, None].astype(np.float64))[:, :, 0].astype(np.int64)
+    near = np.take_along_axis(rep, spanning(mask), 1)
+    has = mask.any(2)
+    return rep[has], links[has], near[has]
+
+
 def _compare(cosine: float):
-    def run(pdf):
-        import pandas as pd
-
-        m, i, j = len(pdf), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        v = np.stack([np.frombuffer(x, np.float64) for x in pdf["vector"]])
-        keys, rep = np.stack(pdf["keys"].to_numpy()), pdf["rep"].to_numpy()
-        mask = v @ v.T >= cosine
-        np.fill_diagonal(mask, False)
-        if i != j:
-            own = pdf["own"].to_numpy()
-            mask &= own[:, None] != own[None, :]
-        for t in range(int(np.nonzero(keys[0] == pdf["key"].iloc[0])[0][0])):
-            mask &= keys[:, t][:, None] != keys[:, t][None, :]
-        links = mask @ pdf["weight"].to_numpy().astype(np.float64)
-        root = spanning(mask)
-        has = mask.any(1)
-        return pd.DataFrame({"rep": rep[has], "links": links[has].astype(np.int64), "near": rep[root[has]]}) if m else None
+    """Tiles follow each other in a partition; those of one size are compared together, up to ROOM values at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[tuple[int, int], list[tuple]] = {}
+
+        def flush(size):
+            tiles = waiting.pop(size)
+            keys, rep, weight, vector, own = (np.stack([t[i] for t in tiles]) for i in range(5))
+            key, whole = np.array([t[5] for t in tiles]), np.array([t[6] for t in tiles])
+            out = compare(cosine, keys, rep, weight, vector, key, own, whole)
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["rep", "links", "near"])
+
+        def take(part: pa.RecordBatch, dim: int):
+            m = part.num_rows
+            if m < 2:
+                return
+            keys = part["keys"].flatten().to_numpy().reshape(m, TABLES)
+            vector = np.frombuffer(b"".join(part["vector"].to_pylist()), np.float64).reshape(m, dim)
+            i, j = part["i"][0].as_py(), part["j"][0].as_py()
+            waiting.setdefault((m, dim), []).append((keys, part["rep"].to_numpy(), part["weight"].to_numpy(), vector, part["own"].to_numpy(), part["key"][0].as_py(), i == j))
+            if len(waiting[m, dim]) * m * (m + dim + TABLES) > ROOM:
+                yield from flush((m, dim))
+
+        left = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if left is not None:
+                batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+            ids = np.stack([batch[c].to_numpy() for c in ("key", "i", "j")])
+            cuts = np.nonzero((ids[:, 1:] != ids[:, :-1]).any(0))[0] + 1
+            for s, e in zip([0, *cuts.tolist()], cuts.tolist()):
+                yield from take(batch.slice(s, e - s), len(batch["vector"][s].as_py()) // 8)
+            left = batch.slice(int(cuts[-1]) if len(cuts) else 0)
+        if left is not None:
+            yield from take(left, len(left["vector"][0].as_py()) // 8)
+        for size in list(waiting):
+            yield from flush(size)
 
     return run
 
@@ -143,7 +193,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     tiles = placed.select("rep", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiles = tiles.select("rep", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     tiles = tiles.join(reps.select("rep", "weight", "vector", "keys"), "rep")
-    found = written(tiles.groupBy("key", "i", "j").applyInPandas(_compare(cosine), "rep long, links long, near long"), "found")
+    tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = written(tiles.mapInArrow(_compare(cosine), "rep long, links long, near long"), "found")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     # from the classes' own ids to vec_ids, then components over those
     name = reps.select("rep", "vec_id")
