@@ -634,15 +634,15 @@ class Dataset:
         validate_population(population_condition._node, Error)
         object.__setattr__(self, "_population", population_condition._node)
 
-    def add_column(self, column_name: str, ehrql_query):
+    def add_column(self, column_name: str, series):
         check_name(column_name, {*self._variables, *self._events})
-        if not isinstance(ehrql_query, BaseSeries):
-            raise TypeError(f"{column_name!r} must be a series, not {type(ehrql_query).__name__}")
-        if not n.is_patient(ehrql_query._node):
+        if not isinstance(series, BaseSeries):
+            raise TypeError(f"{column_name!r} must be a series, not {type(series).__name__}")
+        if not n.is_patient(series._node):
             raise TypeError(f"{column_name!r} has many values a patient: take the first or last row, or aggregate")
-        if isinstance(ehrql_query, MultiCoded):
+        if isinstance(series, MultiCoded):
             raise TypeError(f"{column_name!r} holds several codes in one string, which cannot be output")
-        self._variables[column_name] = ehrql_query._node
+        self._variables[column_name] = series._node
 
     def add_event_table(self, name: str, **columns):
         """An output table of event rows, for the population only; all columns from the same rows."""
