@@ -6,11 +6,15 @@ ROWS values each make candidate buckets; a pair at similarity 0.8 misses all of
 with probability (1 - 0.8**5)**40, about 1e-7.
 
 Steps: documents with equal shingle sets fall into one class (a digest, pre-aggregated
-in the map side); the classes are bucketed; each bucket links its members to a leader
-drawn anew in every band, and links whose signatures agree too little go. What hangs
-together then is a cluster; in each cluster all pairs are held against each other on
-their full sets, in tiles of bounded size, each tile returning a spanning forest of
-its links. No step emits all pairs of a group, and no group meets in one task.
+in the map side); the classes are bucketed; each bucket holds its members' signatures
+against that of a leader drawn anew in every band. Where the leader rejects a member,
+the signatures of all members that are not close to the leader are held against each
+other in tiles of bounded size (a member left out, CLOSE to the leader, and one that the
+leader rejects agree in under 0.65 of the values, by the triangle inequality; a pair at
+0.8 does so with probability about 3e-7). What hangs together by links then is a cluster; in
+each cluster all pairs are held against each other on their full sets, in tiles too, each
+tile returning a spanning forest of its links. No step emits all pairs of a group, and
+no group meets in one task.
 """
 
 from __future__ import annotations
@@ -29,6 +33,10 @@ from .graph import components, union_find
 PERMUTATIONS, BANDS, ROWS = 100, 40, 5
 #: Least agreement of one-byte signature values for a cluster link; 10 deviations below 0.8.
 COARSE = 0.5
+#: A member that agrees so far with its bucket's leader is no link of one that the leader rejects.
+CLOSE = 0.85
+#: Signatures of a block of a crowded bucket; up to two blocks are one tile.
+CROWD = 1024
 #: A cluster of up to 2 * TILE classes is one tile; larger ones are cut into blocks of TILE to MOST_TILE.
 TILE, MOST_TILE, BLOCKS = 128, 2048, 24
 #: Hash words kept by a worker before it starts anew (about 60 bytes each).
@@ -116,8 +124,48 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-            ok = (x == y).mean(1) >= COARSE
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array((x == y).mean(1))], names=["a", "b", "agree"])
+
+
+def coarse(sig: np.ndarray, own: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that span what hangs together by signatures; pairs of one block count only if the tile is one block."""
+    ia, ib = [], []
+    for i in range(len(sig) - 1):
+        ok = (sig[i + 1 :] == sig[i]).sum(1) >= COARSE * sig.shape[1]
+        if not whole:
+            ok &= own[i + 1 :] != own[i]
+        at = np.nonzero(ok)[0] + i + 1
+        ia.append(np.full(len(at), i)), ib.append(at)
+    root = union_find(np.concatenate(ia), np.concatenate(ib), len(sig))
+    far = np.nonzero(root != np.arange(len(sig)))[0]
+    return far, root[far]
+
+
+def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the tiles (key, i, j), which follow each other in a partition."""
+
+    def take(part: pa.RecordBatch) -> pa.RecordBatch:
+        rep, m = part["rep"].to_numpy(), part.num_rows
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if m > 1:
+            sig = np.frombuffer(b"".join(part["sig"].to_pylist()), np.uint8).reshape(m, -1)
+            a, b = coarse(sig, part["own"].to_numpy(), part["i"][0].as_py() == part["j"][0].as_py())
+        return pa.RecordBatch.from_arrays([pa.array(rep[a], pa.int64()), pa.array(rep[b], pa.int64())], names=["a", "b"])
+
+    left = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if left is not None:
+            batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+        ids = np.stack([batch[c].to_numpy() for c in ("key", "i", "j")])
+        cuts = (np.nonzero((ids[:, 1:] != ids[:, :-1]).any(0))[0] + 1).tolist()
+        done = [take(batch.slice(s, e - s)) for s, e in zip([0, *cuts], cuts)]
+        if done:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+        left = batch.slice(cuts[-1] if cuts else 0)
+    if left is not None:
+        yield take(left)
 
 
 def _sets(width: int):
@@ -200,11 +248,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     rows = reps.select("rep", F.explode("keys").alias("key"))
     lead = rows.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("leader"), F.count("*").alias("n")).where("n > 1")
-    pairs = rows.join(lead, "key").where("rep != leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    led = written(rows.join(lead, "key").where("rep != leader").select("key", "rep", F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"), "n"), "led")
     sig = reps.select("rep", "sig").dropDuplicates(["rep"])
+    pairs = led.select("a", "b").distinct()
     pairs = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
     pairs = pairs.join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    clusters = components(pairs.mapInArrow(_agree, "a long, b long"), "a", "b")
+    met = written(pairs.mapInArrow(_agree, "a long, b long, agree double"), "met")
+    # a bucket whose leader rejects nobody hangs together already
+    apart = written(led.where("n > 2").join(met.where(F.col("agree") < CLOSE), ["a", "b"]).select("key", "rep", "agree"), "apart")
+    crowds = apart.groupBy("key").agg(F.count("*").alias("n"), F.min("agree").alias("least")).where((F.col("n") > 1) & (F.col("least") < COARSE))
+    blocks = F.when(F.col("n") <= 2 * CROWD, 1).otherwise(F.ceil(F.col("n") / CROWD)).cast("int")
+    crowds = written(crowds.select("key", "n", blocks.alias("blocks")), "crowds")
+    placed = join_heavy(apart.select("key", "rep"), crowds, "key", F.col("rep"), apart.count()).where("blocks is not null")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    tiles = placed.select("rep", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tiles = tiles.select("rep", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sig, "rep")
+    tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    clusters = components(met.where(F.col("agree") >= COARSE).select("a", "b").union(tiles.mapInArrow(_crowded, "a long, b long")), "a", "b")
     members = clusters.count()
     sizes = written(clusters.groupBy("component").agg(F.count("*").alias("n")), "sizes")
     block = F.greatest(F.lit(TILE), F.least(F.lit(MOST_TILE), F.ceil(F.col("n") / BLOCKS)))
@@ -222,7 +282,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     out = join_heavy(signed.select("doc_id", "n_shingles", "digest"), named, "digest", F.xxhash64("doc_id"), total)
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    drop(classes, reps, sizes, clusters, found)
+    drop(classes, reps, led, met, apart, crowds, sizes, clusters, found)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import graph, minhash
@@ -44,6 +45,25 @@ def test_groups_of_copies_against_brute_force(spark, monkeypatch):
     assert got == brute(rows, 4, 80)
 
 
+def test_crowded_bucket_of_strangers(spark, monkeypatch):
+    sign = minhash._sign
+
+    def one_bucket(width):
+        def run(batches):
+            for batch in sign(width)(batches):
+                keys = [None if k is None else [7] for k in batch["keys"].to_pylist()]
+                yield batch.set_column(4, "keys", pa.array(keys, pa.list_(pa.int64())))
+
+        return run
+
+    monkeypatch.setattr(minhash, "_sign", one_bucket)  # every document meets every other in one bucket only
+    monkeypatch.setattr(minhash, "CROWD", 8, raising=False)  # which is cut into blocks
+    rows = list(enumerate([prose(i) for i in range(30)] + [t for i in range(30) for t in near_copies(prose(i), 1, 3, i)], 10))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents(spark, rows), 4, 80).collect()}
+    want = brute(rows, 4, 80)
+    assert got == want and len({c for _, c in want.values()}) == 30
+
+
 def test_awkward_rows(spark):
     out = minhash.near_duplicates(documents(spark, AWKWARD)).collect()
     assert len(out) == len(AWKWARD)
