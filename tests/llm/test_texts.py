@@ -129,6 +129,17 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(documents(spark, rows).limit(0)).collect() == []
 
 
+def test_noise_is_rejected(spark):
+    rng = np.random.default_rng(6)
+    base64 = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    noise = [(i, " ".join("".join(rng.choice(base64, k)) for _ in range(n))) for i, (n, k) in enumerate([(50, 4), (60, 6), (100, 7), (400, 8), (900, 8), (3000, 9)])]
+    clean = [(100 + i, prose(i, n)) for i, n in enumerate([60, 100, 300, 900, 3000])]
+    half = [(200, prose(9, 1000) + " " + noise[4][1])]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(documents(spark, noise + clean + half)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if r.kept} == {i for i, _ in clean}
+
+
 TONGUES = {"xx": "kalo mira tesu ponde rika salo vemi", "yy": "thrang wolk schtep brund kwelz gnarf", "zz": "é à ñu ló mée où çãe"}
 
 
