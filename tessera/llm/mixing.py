@@ -128,22 +128,46 @@ def mix_plan(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: the rows of ``docs`` once for each copy, in training order, range-partitioned by position."""
-    names = docs.columns
-    row = docs.select("doc_id", "text", "source", F.struct(*names).alias("_row"))
-    plan = allotted(measured(row, "_row")).where("size > 0 and whole + more > 0")
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """allotted() of ``docs`` with each row itself in ``_row``."""
+    return allotted(measured(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row")), "_row"))
+
+
+def ordered(plan: DataFrame) -> DataFrame:
+    """The rows of ``plan`` once for each copy, with the position ``_t``, in training order and range-partitioned by it."""
+    plan = plan.where("size > 0 and whole + more > 0")
     plan = plan.withColumn("_copy", F.explode(F.sequence(F.lit(0), (F.col("whole") + F.col("more") - 1).cast("int"))))
     # the copies of the rest are spread over the time that the whole rounds leave
     size = F.col("source_size")
     pace = F.when(F.col("_copy") < F.col("whole"), F.lit(1.0)).otherwise(F.col("target") / size - F.col("whole"))
     share = F.least(F.lit(1.0), (F.col("_copy") * size + pace * (F.col("start") + F.col("size") / 2)) / F.col("target"))
     at = plan.withColumn("_t", position(share, F.col("slope")))
-    return at.repartitionByRange("_t", "_at").sortWithinPartitions("_t", "_at", "_copy").select("_row.*")
+    return at.repartitionByRange("_t", "_at").sortWithinPartitions("_t", "_at", "_copy")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself: the rows of ``docs`` once for each copy, in training order, range-partitioned by position."""
+    return ordered(whole_rows(docs)).select("_row.*")
+
+
+def drawn_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken and first_position of every row of ``docs``, counted in the mix itself.
+
+    The mix is made with its texts, sorted and written; a row that it does not hold has
+    taken 0 and no position.
+    """
+    plan = written(whole_rows(docs), "placed")
+    mix = written(ordered(plan).select("source", "start", "size", "_t", "_row"), "mix")
+    # rows with words differ by their start within a source; the others are dealt out and meet nothing
+    drawn = mix.groupBy(F.col("source").alias("_s"), F.col("start").alias("_k")).agg(F.sum("size").alias("taken"), F.min("_t").alias("first_position"))
+    key = F.when(F.col("size") > 0, F.col("start")).otherwise(-1 - F.pmod(F.xxhash64("doc_id", "_at"), F.lit(1 << 40)))
+    plan = plan.select("doc_id", "source", "size", "source_size", "target", key.alias("_key"))
+    out = plan.join(drawn, plan["source"].eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k")), "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_position")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return drawn_rows(table(spark, sf_dir, "documents")).drop("first_position")  # the SQL has no positions
 
 
 SQL = r"""

@@ -64,6 +64,32 @@ def test_schedule_is_inverted(spark):
             assert (1 - slope) * r.t + slope * r.t**2 == pytest.approx(r.s, abs=1e-9)
 
 
+def test_rows_are_counted_in_the_sorted_mix(spark, tmp_path, monkeypatch):
+    made, write = {}, mixing.written
+    monkeypatch.setattr(mixing, "written", lambda df, kind="table": made.setdefault(kind, write(df, kind)))
+    documents(spark, [(i, prose(i, 5 + i * 37 % 90)) for i in range(10, 90)] + AWKWARD).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op3_mixing(spark, str(tmp_path)).collect()
+    mix = made["mix"].collect()
+    by_id = lambda rows: sorted((r.doc_id or 0, r.size, r.taken) for r in rows)
+    assert by_id(got) == by_id(mixing.mix_plan(docs).collect()) and sum(r.size for r in mix) == sum(r.taken for r in got)
+    slopes = dict(zip(("s0", "s1", "s2", None), (-0.5, 0.0, 0.5, -0.5)))
+    goal = {r.source: (r.source_size, r.target) for r in mixing.mix_plan(docs).collect()}
+    copies = {}
+    for r in sorted(mix, key=lambda r: r._t):
+        size, target = goal[r.source]
+        copy = copies[r.source, r.start] = copies.get((r.source, r.start), -1) + 1
+        pace = 1 if copy < target // size else target / size - target // size
+        share, low, high = min(1, (copy * size + pace * (r.start + r.size / 2)) / target), 0.0, 1.0
+        for _ in range(50):  # invert the demand by halving
+            t = (low + high) / 2
+            low, high = (t, high) if (1 - slopes[r.source]) * t + slopes[r.source] * t * t < share else (low, t)
+        assert r._t == pytest.approx(low, abs=1e-6)
+    parts = made["mix"].select(F.input_file_name().alias("f"), "_t").collect()
+    files = {f: [r._t for r in parts if r.f == f] for f in sorted({r.f for r in parts})}
+    assert [t for x in files.values() for t in x] == sorted(r._t for r in parts)
+
+
 LOG = "conv_id long, seq long, message_id string, kind string, role string, text string, turns int"
 
 
