@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian uint32) of each document of the mix, in its order."""
+    """doc_id, n_tokens and ids (little-endian uint32) of each document of the mix; the order of the mix is not kept."""
     vocabulary = public_tokenizers.path(VOCABULARY)
     out = bpe.encoded(docs, vocabulary, bpe.build_lexicon(docs, vocabulary))
     return out.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids")
