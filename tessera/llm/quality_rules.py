@@ -4,7 +4,8 @@ Repetitive text compresses far better than prose, noise far worse. The ratio of
 compressed to raw bytes is taken of the whole document and of each fixed chunk; the
 bounds depend on the length, since a short text pays the frame and has little to refer
 back to. A document is rejected if its own ratio is out of its band or if more than
-BAD_CHUNKS percent of its full chunks are out of theirs.
+BAD_CHUNKS percent of its chunks are out of theirs; the last chunk ends with the text and
+may overlap the one before it.
 """
 
 from __future__ import annotations
@@ -74,7 +75,9 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, chars, symbols, dup, repeat = base_counts(text)
             failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n
             ratio = len(packer.compress(text)) / len(text) if text else None
-            chunks = range(0, len(text) - CHUNK_BYTES + 1, CHUNK_BYTES)
+            chunks = list(range(0, len(text) - CHUNK_BYTES + 1, CHUNK_BYTES))
+            if chunks and len(text) % CHUNK_BYTES:
+                chunks.append(len(text) - CHUNK_BYTES)
             bad = sum(not CHUNK_BAND[0] <= len(packer.compress(text[i : i + CHUNK_BYTES])) / CHUNK_BYTES <= CHUNK_BAND[1] for i in chunks)
             kept = not failed and not out_of_band(len(text), ratio) and 100 * bad <= BAD_CHUNKS * len(chunks)
             rows.append((n, chars, symbols, dup, repeat, ratio, bad, len(chunks), failed, kept))

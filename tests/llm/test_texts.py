@@ -140,6 +140,13 @@ def test_noise_is_rejected(spark):
     assert {i for i, r in got.items() if r.kept} == {i for i, _ in clean}
 
 
+def test_noise_at_the_end_is_in_a_chunk(spark):
+    rng = np.random.default_rng(7)
+    text = prose(1, 1600)[:8192] + " " + " ".join("".join(rng.choice(list("ABCDEFGHIJKLMabcdefghijklm0123456789+/NOPQRSTUVWXYZnopqrstuvwxyz"), 7)) for _ in range(500))[:4090]
+    r = quality_rules.quality_rules(documents(spark, [(1, text)])).collect()[0]
+    assert (r.chunks, r.bad_chunks, r.kept) == (3, 1, False) and not quality_rules.out_of_band(len(text), r.ratio)
+
+
 TONGUES = {"xx": "kalo mira tesu ponde rika salo vemi", "yy": "thrang wolk schtep brund kwelz gnarf", "zz": "é à ñu ló mée où çãe"}
 
 
