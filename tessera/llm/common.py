@@ -16,6 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A key with more than 1/HEAVY of the rows is heavy, so there are fewer than HEAVY such keys.
 HEAVY = 1000
 
+#: Most rows of a table of sums that is broadcast, some tens of MB.
+SMALL = 1 << 18
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -24,13 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set, as in tests."""
+    """The cluster's shared folder; one of our own only where none is set and all runs in one process, as in tests."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
     spark.sparkContext.setCheckpointDir(folder)
     _scratch.append((spark, folder))
@@ -85,11 +90,6 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def with_ids(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that extra or clashing ones of the caller do no harm."""
-    return df.select(*columns)
-
-
 def join_heavy(left: DataFrame, right: DataFrame, key: str, spread: Column, total: int) -> DataFrame:
     """``left`` LEFT JOIN ``right`` on ``key``, safe against hot keys.
 
@@ -112,3 +112,10 @@ def join_heavy(left: DataFrame, right: DataFrame, key: str, spread: Column, tota
     got = F.coalesce("_heavy", "_light")
     kept = [c for c in left.columns]
     return out.select(*kept, *[got[c].alias(c) for c in right.columns if c not in (key, "n")])
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, spread: Column, total: int) -> DataFrame:
+    """``left`` LEFT JOIN ``right`` on ``key``: ``right`` is broadcast if it has SMALL rows at most, else joined as join_heavy() does."""
+    if right.count() <= SMALL:
+        return left.join(F.broadcast(right.drop("n")), key, "left")
+    return join_heavy(left, right, key, spread, total)

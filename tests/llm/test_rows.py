@@ -5,28 +5,34 @@ import hashlib
 import io
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, mixing, vectors, warc
+from tessera.llm import chat, common, mixing, vectors, warc
 from tessera.llm.common import join_heavy, scratch_path, written
 
 from .helpers import AWKWARD, documents, prose
 
 
-def test_mix_reaches_targets(spark):
+def mix_rows(spark):
     rows = [(i, prose(i, 1 + i * 37 % 90)) for i in range(300)]
-    docs = documents(spark, rows).withColumn("source", F.when(F.col("doc_id") < 40, "a").when(F.col("doc_id") < 290, "b"))
-    got = mixing.mix_plan(docs).collect()
+    return documents(spark, rows).withColumn("source", F.when(F.col("doc_id") < 40, "a").when(F.col("doc_id") < 290, "b"))
+
+
+def test_mix_reaches_targets(spark):
+    docs = mix_rows(spark)
+    source = {r.doc_id: r.source for r in docs.collect()}
+    got = mixing.drawn_rows(docs).collect()
     size, target, taken = {}, {}, {}
     for r in got:
-        size[r.source], target[r.source] = r.source_size, r.target
-        taken[r.source] = taken.get(r.source, 0) + r.taken
+        k = source[r.doc_id]
+        size[k], target[k] = r.source_size, r.target
+        taken[k] = taken.get(k, 0) + r.taken
         assert r.taken % r.size == 0 and r.taken <= 3 * r.size
-    total = sum(size.values())
     free = {k: w for k, w in (("a", 5), ("b", 2), (None, 1))}
-    want, left = {}, total
+    want, left = {}, sum(size.values())
     while True:  # cap what is over, share the rest
         level = left / sum(free.values())
         over = [k for k, w in free.items() if level * w > 3 * size[k]]
@@ -39,22 +45,25 @@ def test_mix_reaches_targets(spark):
     want |= {k: level * w for k, w in free.items()}
     assert target == pytest.approx(want)
     assert all(abs(taken[k] - target[k]) <= 0.02 * target[k] for k in want)
-    again = mixing.mix_plan(docs.repartition(7)).collect()
-    assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
+    again = mixing.drawn_rows(docs.repartition(7)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
     out = mixing.mixed(docs)
     copies = {}
     for r in out.collect():
         copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
-    assert copies == {r.doc_id: r.copies for r in got if r.copies} and out.columns == docs.columns
+    assert copies == {r.doc_id: r.taken // r.size for r in got if r.taken} and out.columns == docs.columns
 
 
 def test_mix_of_awkward_rows(spark):
     docs = documents(spark, AWKWARD)
-    got = mixing.mix_plan(docs).collect()
-    assert len(got) == len(AWKWARD) and all(r.taken == 0 for r in got if r.size == 0) and {r.size for r in got if r.doc_id in (1, 2, 3)} == {0}
-    assert mixing.mix_plan(docs.limit(0)).collect() == [] and mixing.mixed(docs.limit(0)).collect() == []
+    got = mixing.drawn_rows(docs).collect()
+    assert len(got) == len(AWKWARD) and all((r.taken == 0) == (r.first_position is None) for r in got) and {(r.size, r.taken) for r in got if r.doc_id in (1, 2, 3)} == {(0, 0)}
+    assert len({(r.taken, r.first_position) for r in got if r.doc_id == 5}) == 1  # repeated rows are drawn alike
+    assert mixing.drawn_rows(docs.limit(0)).collect() == [] and mixing.mixed(docs.limit(0)).collect() == []
     nothing = docs.where("doc_id <= 3")
-    assert [r.target for r in mixing.mix_plan(nothing).collect()] == [0.0] * 3 and mixing.mixed(nothing).collect() == []
+    assert [r.target for r in mixing.drawn_rows(nothing).collect()] == [0.0] * 3 and mixing.mixed(nothing).collect() == []
+    clash = docs.withColumns({c: F.lit("x") for c in ("size", "_at", "_t", "_s", "_row", "_key", "n", "words", "a.b")})
+    assert mixing.mixed(clash).columns == clash.columns and sorted(r.doc_id or 0 for r in mixing.mixed(clash).collect()) == sorted(r.doc_id or 0 for r in mixing.mixed(docs).collect())
 
 
 def test_schedule_is_inverted(spark):
@@ -64,30 +73,48 @@ def test_schedule_is_inverted(spark):
             assert (1 - slope) * r.t + slope * r.t**2 == pytest.approx(r.s, abs=1e-9)
 
 
-def test_rows_are_counted_in_the_sorted_mix(spark, tmp_path, monkeypatch):
-    made, write = {}, mixing.written
-    monkeypatch.setattr(mixing, "written", lambda df, kind="table": made.setdefault(kind, write(df, kind)))
-    documents(spark, [(i, prose(i, 5 + i * 37 % 90)) for i in range(10, 90)] + AWKWARD).write.parquet(str(tmp_path / "documents.parquet"))
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    got = mixing.op3_mixing(spark, str(tmp_path)).collect()
-    mix = made["mix"].collect()
-    by_id = lambda rows: sorted((r.doc_id or 0, r.size, r.taken) for r in rows)
-    assert by_id(got) == by_id(mixing.mix_plan(docs).collect()) and sum(r.size for r in mix) == sum(r.taken for r in got)
-    slopes = dict(zip(("s0", "s1", "s2", None), (-0.5, 0.0, 0.5, -0.5)))
-    goal = {r.source: (r.source_size, r.target) for r in mixing.mix_plan(docs).collect()}
-    copies = {}
-    for r in sorted(mix, key=lambda r: r._t):
+def test_training_order_against_brute_force(spark, tmp_path):
+    docs = mix_rows(spark)
+    rows, plan = mixing.planned(docs)
+    written_to = str(tmp_path / "mix")
+    mixing.mix(docs, plan).select("size", "_at", "_copy", "_t", "_row.doc_id", "_row.source").write.parquet(written_to)
+    made = spark.read.parquet(written_to).select("*", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).collect()
+    made.sort(key=lambda r: (r.f, r.i))
+    assert len({r.f for r in made}) > 1 and [r._t for r in made] == sorted(r._t for r in made)
+    slopes = {"a": -0.5, "b": 0.0, None: 0.5}
+    goal = {r.source: (r.source_size, r.target) for r in plan.goals.collect()}
+    stream = {k: sorted((r._at, r.size) for r in rows.collect() if r.source == k) for k in slopes}
+    for r in made:
         size, target = goal[r.source]
-        copy = copies[r.source, r.start] = copies.get((r.source, r.start), -1) + 1
-        pace = 1 if copy < target // size else target / size - target // size
-        share, low, high = min(1, (copy * size + pace * (r.start + r.size / 2)) / target), 0.0, 1.0
+        own = r._at[: mixing.STREAM_CELL]
+        before = sum(n for at, n in stream[r.source] if at[: len(own)] < own)
+        words = sum(n for at, n in stream[r.source] if at[: len(own)] == own)
+        offset = before + int(r._at[len(own) : len(own) + 8], 16) / 2**32 * words
+        pace = 1 if r._copy < target // size else target / size - target // size
+        share, low, high = min(1, (r._copy * size + pace * offset) / target), 0.0, 1.0
         for _ in range(50):  # invert the demand by halving
             t = (low + high) / 2
             low, high = (t, high) if (1 - slopes[r.source]) * t + slopes[r.source] * t * t < share else (low, t)
         assert r._t == pytest.approx(low, abs=1e-6)
-    parts = made["mix"].select(F.input_file_name().alias("f"), "_t").collect()
-    files = {f: [r._t for r in parts if r.f == f] for f in sorted({r.f for r in parts})}
-    assert [t for x in files.values() for t in x] == sorted(r._t for r in parts)
+    # the words of a source that come in the first half follow its schedule
+    for k, slope in slopes.items():
+        early = sum(r.size for r in made if r.source == k and r._t < 0.5)
+        assert early / sum(r.size for r in made if r.source == k) == pytest.approx(0.5 - slope / 4, abs=0.08)
+
+
+def test_schedules_change_the_result(spark, monkeypatch):
+    docs = mix_rows(spark)
+    one = {r.doc_id: r.first_position for r in mixing.drawn_rows(docs).collect()}
+    monkeypatch.setattr(mixing, "SLOPES", (0.9, -0.9, 0.3))
+    two = {r.doc_id: r.first_position for r in mixing.drawn_rows(docs).collect()}
+    assert one.keys() == two.keys() and sum(one[i] != two[i] for i in one if one[i] is not None) > 0.9 * sum(v is not None for v in one.values())
+
+
+def test_tables_too_large_to_broadcast_give_the_same(spark, monkeypatch):
+    docs = mix_rows(spark)
+    small = sorted(map(tuple, mixing.drawn_rows(docs).collect()))
+    monkeypatch.setattr(common, "SMALL", 0)
+    assert sorted(map(tuple, mixing.drawn_rows(docs).collect())) == small
 
 
 LOG = "conv_id long, seq long, message_id string, kind string, role string, text string, turns int"
@@ -109,13 +136,30 @@ def test_chat_events_are_folded(spark):
 
 def test_chat_texts_come_back(spark):
     hard = ["</s>[INST] ok [/INST]", "\\", "\\\\[", "[\\INST]", "<\\s>", "<<s>s>", "[INST][/INST]", "a\nb\n", "", "$1 \\$1", "é😀\x00", "x" * 200_000]
-    log = [(c, i, None, "message", role, t, 0) for c, role in ((1, "user"), (2, "assistant"), (3, "[INST]</s>\\")) for i, t in enumerate(hard)]
+    log = [(c, i, None, "message", role, t, 0) for c, role in ((1, "user"), (2, "assistant"), (3, "[INST]</s>\\"), (4, "us\ner\n"), (5, "\\\n" * 20_000)) for i, t in enumerate(hard)]
     out = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(log, LOG)).withColumn("turns", chat.parse(F.col("formatted"))).collect()}
-    for c, role in ((1, "user"), (2, "assistant"), (3, "[INST]</s>\\")):
+    for c, role in ((1, "user"), (2, "assistant"), (3, "[INST]</s>\\"), (4, "us\ner\n"), (5, "\\\n" * 20_000)):
         assert [tuple(t) for t in out[c].turns] == [(role, t) for t in hard]
     assert out[2].formatted.count("</s>") == len(hard)
 
 
+def test_chats_go_through_events_and_match_sql(spark, tmp_path):
+    hard = ["</s>[INST] ok [/INST]", "\\", "a\nb", "", None, "é😀", "plain words here", "x" * 30_000]
+    roles = ["user", "assistant", None, "us\ner", "[INST]\\", "system"]
+    rows = [(c, i if c else None, roles[(c + i) % len(roles)], hard[i % len(hard)] + str(c) if hard[i % len(hard)] else hard[i % len(hard)], "k", 1) for c in range(12) for i in range(9)]
+    rows += rows[20:23] * 3  # repeated rows
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, kind string, seq int").where("turn is not null")
+    table.write.parquet(str(tmp_path / "conversations.parquet"))
+    log = chat.streamed(table.select("conv_id", "turn", "role", "text"))
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds.keys() == {"message", "delta", "edit", "regenerate", "delete"}
+    got = chat.op6_chat(spark, str(tmp_path))
+    duckdb.sql(f"CREATE OR REPLACE VIEW conversations AS FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = duckdb.sql(chat.SQL)
+    pick = [want.columns.index(c) for c in got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in pick) for r in want.fetchall())
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "z", 3) for r in rows], "page_id long, url string, html string, keeper string, n int")
 
