@@ -453,13 +453,18 @@ def _derived(cls: type, kind: type) -> type:
 
 
 class Series:
-    """A column of a table class: its type, and what is known of its values."""
+    """A column of a table class: its type, and what is known of its values.
+
+    dummy_data_constraints hold for made-up values alone, where they stand in for
+    constraints of their kind. required and the notes are documentation.
+    """
 
     def __init__(self, type_, description: str = "", constraints=(), required: bool = True, implementation_notes_to_add_to_description: str = "", notes_for_implementors: str = "", dummy_data_constraints=()):
         self.type_, self.description, self.constraints, self.dummy_data_constraints, self.required = type_, description, tuple(constraints), tuple(dummy_data_constraints), required
-        kinds = [type(c) for c in self.constraints]
-        if len(set(kinds)) < len(kinds):
-            raise ValueError("a column may have one constraint of each kind")
+        for given in (self.constraints, self.dummy_data_constraints):
+            kinds = [type(c) for c in given]
+            if len(set(kinds)) < len(kinds):
+                raise ValueError("a column may have one constraint of each kind")
 
     def __set_name__(self, owner, name):
         self.name = name
@@ -469,7 +474,7 @@ class Series:
 
 
 def _schema(cls: type) -> n.Schema:
-    columns = {s.name: n.ColumnDef(s.type_, s.constraints) for c in reversed(cls.__mro__) for s in vars(c).values() if isinstance(s, Series)}
+    columns = {s.name: n.ColumnDef(s.type_, s.constraints, s.dummy_data_constraints) for c in reversed(cls.__mro__) for s in vars(c).values() if isinstance(s, Series)}
     if "patient_id" in columns:
         raise ValueError("patient_id is part of every table and not declared")
     if not columns:
@@ -612,6 +617,8 @@ def check_name(name: str, taken) -> None:
 
 
 class DummyDataConfig:
+    """How many patients are made up, for how long that may go on, and what else must hold of them. legacy: rows do not look at the definition's values."""
+
     def __init__(self, population_size=10, legacy=False, timeout=60, additional_population_constraint=None):
         self.population_size, self.legacy, self.timeout, self.additional_population_constraint = population_size, legacy, timeout, additional_population_constraint
 

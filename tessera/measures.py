@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -138,8 +139,11 @@ def _positive(denominator: n.Series) -> n.Series:
     return denominator if denominator.type is bool else n.Call("gt", (denominator, n.Literal(0)))
 
 
-def calculate(planner: Planner, measures: Measures) -> DataFrame:
-    """measure, interval_start, interval_end, ratio, numerator, denominator and all groups, one row for each that has a denominator."""
+def calculate(planner: Planner, measures: Measures, ready: Callable | None = None) -> DataFrame:
+    """measure, interval_start, interval_end, ratio, numerator, denominator and all groups, one row for each that has a denominator.
+
+    ready: checks and rewrites (population, series by name) of each query before it is planned.
+    """
     if not len(measures):
         raise Error("no measures defined")
     groups = {k: v for m in measures for k, v in m.group_by}
@@ -148,16 +152,17 @@ def calculate(planner: Planner, measures: Measures) -> DataFrame:
         together.setdefault((m.denominator, m.intervals), []).append(m)
     out = None
     for (denominator, intervals), members in together.items():
-        part = _one_query(planner, denominator, intervals, members, groups)
+        part = _one_query(planner, denominator, intervals, members, groups, ready or (lambda *roots: roots))
         out = part if out is None else out.unionByName(part)
     return suppressed(out) if measures.disclosure_control else out
 
 
-def _one_query(planner: Planner, denominator, intervals, members: list[Measure], groups: dict) -> DataFrame:
+def _one_query(planner: Planner, denominator, intervals, members: list[Measure], groups: dict, ready: Callable) -> DataFrame:
     tops = {t: f"_n{i}" for i, t in enumerate(dict.fromkeys(m.numerator for m in members))}
     cols = dict(kv for m in members for kv in m.group_by)
     outputs = {"_d": denominator, **{name: t for t, name in tops.items()}, **{f"_g_{k}": v for k, v in cols.items()}}
-    rows = planner.over_intervals(_positive(denominator), outputs, intervals)
+    predicate, outputs = ready(_positive(denominator), outputs)
+    rows = planner.over_intervals(predicate, outputs, intervals)
     ends = ["interval_start", "interval_end"]
     names = [f"_g_{k}" for k in cols]
     sets = list(dict.fromkeys(tuple(sorted(k for k, _ in m.group_by)) for m in members))

@@ -26,6 +26,8 @@ class DomainError(ValueError):
 class ColumnDef:
     type: type
     constraints: tuple = ()
+    #: Further constraints, on made-up values alone.
+    dummy: tuple = field(default=(), compare=False)
 
     def constraint(self, kind: type):
         return next((c for c in self.constraints if isinstance(c, kind)), None)

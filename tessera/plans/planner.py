@@ -16,7 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.expressions import compile_series, literal, spark_type
+from ..operators.expressions import compile_series, literal, long_list, spark_type
 from . import nodes as n
 
 PID, INTERVAL = "patient_id", "_interval"
@@ -94,7 +94,23 @@ class Planner:
         return self._table(frame)
 
     def column(self, x: n.Series) -> Column:
-        return compile_series(x, self._leaf)
+        return compile_series(x, self._leaf, self._joined)
+
+    def _joined(self, x: n.InSet) -> Column:
+        return F.when(self._leaf(x.value).isNotNull(), F.col(self.name(x)).isNotNull())
+
+    def with_lists(self, df: DataFrame, table: n.Frame, roots: Iterable[n.Node]) -> DataFrame:
+        """Event rows of ``table`` with a column for each long list that ``roots`` test them against: not null where the value is a member.
+
+        A list becomes a table of its distinct members, broadcast or shuffled as its size has it.
+        """
+        import pyarrow as pa
+
+        for x in dict.fromkeys(y for y in n.walk(*roots) if long_list(y) and n.base_table(y.value.frame) == table):
+            own, plain = self.name(x), [str(m) if isinstance(m, n.Code) else m for m in x.members]
+            members = self.spark.createDataFrame(pa.table({own: pa.array(plain).unique()}))
+            df = df.join(members, self._leaf(x.value) == F.col(own), "left")
+        return df
 
     def _leaf(self, x: n.Node) -> Column:
         if isinstance(x, n.Param):
@@ -179,7 +195,7 @@ class Planner:
         """The columns of ``table`` that the members use, under names of their own."""
         used = {x.name for x in n.walk(*members) if isinstance(x, n.Column) and not n.is_patient(x) and n.base_table(x.frame) == table}
         used |= {c for x in members if isinstance(f := frame_of(x), n.Pick) for c in picked.get(f, ())}
-        return self.base(table).select(PID, *[F.col(c).alias("_e_" + c) for c in sorted(used)])
+        return self.with_lists(self.base(table).select(PID, *[F.col(c).alias("_e_" + c) for c in sorted(used)]), table, members)
 
     def extended(self, table: n.Frame, members: list[n.Series], patients: DataFrame, picked) -> DataFrame:
         """``patients`` with members whose rows or values depend on columns that it has already.
@@ -206,9 +222,9 @@ class Planner:
         return tuple(n.conditions(frame.source if isinstance(frame, n.Pick) else frame))
 
     def _all(self, tests: tuple[n.Series, ...], leaf=None) -> Column:
-        out = compile_series(tests[0], leaf or self._leaf)
+        out = compile_series(tests[0], leaf or self._leaf, self._joined)
         for t in tests[1:]:
-            out = out & compile_series(t, leaf or self._leaf)
+            out = out & compile_series(t, leaf or self._leaf, self._joined)
         return out
 
     def _deal(self, df: DataFrame, frames: list[n.Frame], intervals) -> DataFrame:
@@ -244,7 +260,7 @@ class Planner:
                     out.append(self._pick(frame, on, picked.get(frame, ())).alias(self.name(frame)))
                 continue
             value = self.column(x.source) if isinstance(x.source, n.Series) else F.lit(1)
-            fn = {"exists": F.count, "count": F.count, "count_distinct": F.collect_set, "set": F.collect_set, "episodes": F.collect_set, "min": F.min, "max": F.max, "sum": F.sum, "mean": F.avg}[x.kind]
+            fn = {"exists": F.count, "count": F.count, "count_distinct": F.collect_set, "set": F.collect_set, "episodes": F.collect_set, "min": F.min, "max": F.max, "sum": F.try_sum, "mean": F.avg}[x.kind]
             out.append(fn(on(value)).alias("_a" + self.name(x)))
         return out
 
@@ -318,6 +334,7 @@ class Planner:
             side = self.add(patients, self.closure(rows), picked, set(known), semi=self.semi_join)
             used = sorted({x.name for x in n.walk(*rows) if isinstance(x, n.Column) and not n.is_patient(x)} - {PID})
             table = self.base(n.base_table(frame)).select(PID, *[F.col(c).alias("_e_" + c) for c in used], F.col(PID).alias("_e_" + PID))
+            table = self.with_lists(table, n.base_table(frame), rows)
             need = [self.name(x) for x in leaves(*rows)]
             table = table.join(side.select(PID, *need), PID) if need else table.join(side.select(PID), PID, "left_semi")
             test = self._test(frame)

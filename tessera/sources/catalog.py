@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.expressions import spark_type
 from ..plans import nodes as n
-from .files import EXTENSIONS, read_table
+from .files import EXTENSIONS, FileValidationError, read_table
 
 
 @dataclass(frozen=True)
@@ -51,18 +51,35 @@ class Catalog:
     name. Declared columns that a file lacks read as null; a column is cast to its type.
     """
 
-    def __init__(self, spark: SparkSession, directory: str | None = None, tables: dict[str, MappedTable | QueryTable | DataFrame] | None = None, modify: Callable | None = None):
-        self.spark, self.directory, self.tables, self.modify = spark, directory, tables or {}, modify
+    def __init__(self, spark: SparkSession, directory: str | None = None, tables: dict[str, MappedTable | QueryTable | DataFrame] | None = None):
+        self.spark, self.directory, self.tables = spark, directory, tables or {}
         self._loaded: dict[str, DataFrame] = {}
 
     def stored(self, name: str, schema: n.Schema | None = None) -> DataFrame:
         if self.directory is None:
             return self.spark.table(name)
-        for ext in EXTENSIONS:
-            path = f"{self.directory}/{name}{ext}"
-            if ext == ".parquet" and "://" in self.directory or os.path.exists(path):
-                return read_table(self.spark, path, schema)
-        raise FileNotFoundError(f"no file of the table {name!r} in {self.directory}")
+        found = [path for ext in EXTENSIONS if self._exists(path := f"{self.directory}/{name}{ext}")]
+        if not found:
+            raise FileNotFoundError(f"no file of the table {name!r} in {self.directory}")
+        if len(found) > 1:
+            raise FileValidationError(f"{self.directory}: the table {name!r} is there in several formats")
+        return read_table(self.spark, found[0], schema)
+
+    def reachable(self) -> int:
+        """How many tables can be opened: mapped ones are loaded, others found by name."""
+        for given in self.tables.values():
+            _ = given.schema if isinstance(given, DataFrame) else given.load(self).schema
+        if self.directory is None:
+            return len(self.tables) + len(self.spark.catalog.listTables())
+        names = os.listdir(self.directory) if "://" not in self.directory else []
+        return len(self.tables) + sum(any(x.endswith(e) for e in EXTENSIONS) for x in names)
+
+    def _exists(self, path: str) -> bool:
+        """Whether a file or folder is there, by Spark's own file systems where it is not a plain local path."""
+        if "://" not in path:
+            return os.path.exists(path)
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
     def sql(self, text: str) -> DataFrame:
         """SQL in which {name} stands for a stored table."""

@@ -11,13 +11,17 @@ from collections.abc import Iterator
 from pathlib import Path
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import Code
 from ..operators.expressions import spark_type
 from ..plans import nodes as n
 
+# Executors need not have this package installed: the readers travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EXTENSIONS = (".parquet", ".arrow", ".csv", ".csv.gz")
 #: Rows of an Arrow batch, and level of gzip.
 BATCH_ROWS, GZIP_LEVEL = 64_000, 6
@@ -110,21 +114,84 @@ def _checked(value, d: n.ColumnDef):
 
 
 def read_table(spark: SparkSession, path: str, schema: n.Schema | None = None) -> DataFrame:
-    """A file or folder of one format as a DataFrame; CSV columns take the declared types."""
+    """A file or folder of one format as a DataFrame; declared columns that it has take their types and are checked.
+
+    CSV fields are read by the executors; an invalid one fails the query with its column and
+    value. Arrow files must say the declared types; the driver reads their schema, executors the batches.
+    """
     ext = extension(path)
-    if ext == ".parquet":
-        return spark.read.parquet(path)
     if ext == ".arrow":
-        import pyarrow as pa
-
-        return spark.createDataFrame(pa.ipc.open_file(path).read_all())
-    df = spark.read.csv(path, header=True, nullValue="", emptyValue="", escape='"', enforceSchema=False)
-    for name, d in (("patient_id", n.ColumnDef(int)), *(schema.columns if schema else ())):
-        if name in df.columns:
-            c = F.col(name)
-            c = F.when(c == "T", True).when(c == "F", False).when(c.isNotNull(), F.raise_error(F.concat(F.lit(f"{name}: invalid boolean "), c)).cast("boolean")) if d.type is bool else c.cast(spark_type(d.type))
-            df = df.withColumn(name, c)
-    return df
+        return _read_arrow(spark, str(path), schema)
+    df = spark.read.parquet(path) if ext == ".parquet" else spark.read.csv(path, header=True, nullValue="", emptyValue="", escape='"', enforceSchema=False)
+    declared = [("patient_id", n.ColumnDef(int)), *(schema.columns if schema else ())]
+    if "patient_id" not in df.columns and schema:
+        raise FileValidationError(f"{path}: missing column: patient_id")
+    text = [c for c, t in df.dtypes if t == "string"]
+    return df.withColumns({name: checked_column(name, d, name in text) for name, d in declared if name in df.columns})
+
+
+def checked_column(name: str, d: n.ColumnDef, text: bool) -> Column:
+    """The column as its declared type. Text must have the type's form; what is not among declared categories is refused."""
+    from ..functions.constraints import Categorical
+
+    c = F.col(f"`{name}`")
+
+    def must(ok: Column, value: Column, what: str) -> Column:
+        said = F.concat(F.lit(f"column {name!r}: "), c.cast("string"), F.lit(f" {what}"))
+        return F.when(c.isNull() | F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(said).cast(spark_type(d.type)))
+
+    value = c.cast(spark_type(d.type)) if not text else c.try_cast(spark_type(d.type))
+    if text and d.type is bool:
+        value = must(c.isin("T", "F"), c == "T", "is an invalid boolean, must be T or F")
+    elif text and d.type is datetime.date:
+        value = must(c.rlike(r"^\d{4}-\d{2}-\d{2}$") & value.isNotNull(), value, "is no date of the form YYYY-MM-DD")
+    elif text and d.type in (int, float):
+        value = must(value.isNotNull(), value, f"is no {d.type.__name__}")
+    known = d.constraint(Categorical)
+    if known:
+        value = must(value.isin(*[str(v) if isinstance(v, Code) else v for v in known.values]), value, f"is not one of {', '.join(map(repr, known.values))}")
+    return value
+
+
+def arrow_file(path: str):
+    """An open Arrow file, local or in any store that Arrow reads."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return pa.ipc.open_file(where.open_input_file(name))
+
+
+def _read_arrow(spark: SparkSession, path: str, schema: n.Schema | None) -> DataFrame:
+    import pyarrow as pa
+
+    with arrow_file(path) as f:
+        found, batches = f.schema, f.num_record_batches
+
+    def plain(t: pa.DataType) -> pa.DataType:
+        t = t.value_type if pa.types.is_dictionary(t) else t
+        return pa.int64() if pa.types.is_integer(t) else pa.float64() if pa.types.is_floating(t) else pa.string() if pa.types.is_large_string(t) else t
+
+    kinds = {pa.int64(): "bigint", pa.float64(): "double", pa.string(): "string", pa.date32(): "date", pa.bool_(): "boolean"}
+    target = pa.schema([(f.name, plain(f.type)) for f in found if plain(f.type) in kinds])
+    want = {"patient_id": "bigint", **({c: spark_type(d.type) for c, d in schema.columns} if schema else {})}
+    for name, kind in want.items():
+        have = [f for f in found if f.name == name]
+        got = kinds.get(plain(have[0].type)) if have else None
+        if schema and name == "patient_id" and not have or have and got != kind and (got, kind) != ("bigint", "double"):
+            raise FileValidationError(f"{path}: column {name!r} " + (f"is of type {have[0].type}, not {kind}" if have else "is missing"))
+
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            with arrow_file(path) as f:
+                for i in part["batch"].to_pylist():
+                    batch = f.get_batch(i)
+                    yield pa.RecordBatch.from_arrays([batch[c.name].cast(c.type) for c in target], schema=target)
+
+    jobs = spark.range(batches, numPartitions=max(1, min(batches, 10_000))).withColumnRenamed("id", "batch")
+    df = jobs.mapInArrow(read, ", ".join(f"`{c.name}` {kinds[c.type]}" for c in target))
+    declared = [("patient_id", n.ColumnDef(int)), *(schema.columns if schema else ())]
+    return df.withColumns({name: checked_column(name, d, False) for name, d in declared if name in df.columns})
 
 
 def _text(value) -> str:

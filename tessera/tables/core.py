@@ -6,7 +6,7 @@ import datetime
 
 from ..functions.codes import DMDCode, ICD10Code, SNOMEDCTCode
 from ..functions.constraints import Constraint
-from ..language import EventFrame, PatientFrame, Series, table
+from ..language import EventFrame, PatientFrame, Series, _named, table
 
 __all__ = ["clinical_events", "medications", "ons_deaths", "patients", "practice_registrations"]
 
@@ -60,9 +60,7 @@ class _Deaths(PatientFrame):
 
 
 for _i in range(1, 16):
-    _series = Series(ICD10Code)
-    _series.name = f"cause_of_death_{_i:02}"
-    setattr(_Deaths, _series.name, _series)
+    setattr(_Deaths, f"cause_of_death_{_i:02}", _named(f"cause_of_death_{_i:02}", ICD10Code))
 
 
 @table
