@@ -18,19 +18,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, filesystem, scratch_path, table, written
+from .common import drop, filesystem, scratch_path, spread, table, written
 
 #: The byte-level pattern that cuts a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Frequent words that the lexicon holds; results do not depend on it.
-LEXICON = 32_768
+#: Frequent words that the lexicon holds, and most bytes of one; results do not depend on either.
+LEXICON, WORD_BYTES = 32_768, 64
 #: Distinct words that a worker counts, or keeps ids of, before it starts anew.
 COUNTED, KEPT = 500_000, 300_000
-#: Characters of text that are cut into words before their new words are looked up together.
-TOGETHER = 1 << 20
+#: Characters of text that are cut into words before their new words are looked up together, and bytes of text encoded before they are handed on.
+TOGETHER, HANDED = 1 << 20, 4 << 20
 #: Above every packed rank.
 NEVER = 1 << 60
 
@@ -52,6 +53,7 @@ class Merges:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.check(spec)
         letters = byte_letters()
         back = {c: b for b, c in enumerate(letters)}
         vocab = spec["model"]["vocab"]
@@ -70,6 +72,19 @@ class Merges:
         for word, i in self.special.items():
             self.bytes_of[i] = word.encode()
 
+    @staticmethod
+    def check(spec: dict) -> None:
+        """ValueError unless the file describes plain byte-level BPE, as this module encodes it."""
+        model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = {
+            "a normalizer": spec.get("normalizer") is None,
+            "another splitter": cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space"),
+            "another model": model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+            "special strings that look at their neighbours": not any(x.get(k) for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+        }
+        if wrong := [what for what, ok in plain.items() if not ok]:
+            raise ValueError(f"the vocabulary has {', '.join(wrong)}; only plain byte-level BPE is encoded")
+
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: again and again the leftmost pair of lowest rank is merged."""
         ids = [self.byte_ids[b] for b in word]
@@ -288,9 +303,10 @@ def frequent_words(docs: DataFrame, n: int = LEXICON) -> list[bytes]:
     """The most frequent words of all texts, sorted: at most ``n``, whatever the size of the corpus.
 
     Counts fall into classes a tenth of an octave wide, of which there are a few hundred; the
-    words of the highest classes that hold ``n`` together are taken. Words met once are left out.
+    words of the highest classes that hold ``n`` together are taken. Words met once, and those of more
+    than WORD_BYTES bytes, are left out.
     """
-    counted = docs.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = spread(docs.select("text")).mapInArrow(_count, "word string, n long").where(F.octet_length("word") <= WORD_BYTES).groupBy("word").agg(F.sum("n").alias("n"))
     grade = F.floor(10 * F.log2("n")).cast("int")
     counts = written(counted.where("n > 1").select("word", grade.alias("grade")), "words")
     left, least = n, None
@@ -312,20 +328,31 @@ def build_lexicon(docs: DataFrame, vocabulary: str, n: int = LEXICON) -> str:
     return path
 
 
-def encoded(docs: DataFrame, vocabulary: str, lexicon: str | None = None) -> DataFrame:
-    """(doc_id, ids, decoded) of ``docs`` (doc_id, text, ...): ids as little-endian uint32 binary.
+def encoded(docs: DataFrame, vocabulary: str, lexicon: str | None = None, keep: tuple[str, ...] = ("doc_id",), decode: bool = True) -> DataFrame:
+    """The columns ``keep`` and ids, with ``decode`` also decoded, of ``docs`` (text, ...): ids as little-endian uint32 binary.
 
-    A null or empty text has no ids. Special strings in a text become their ids. Rows stay
-    as they are, repeated or not; other columns are not read.
+    A null or empty text has no ids. Special strings in a text become their ids. Texts of any
+    length are one row. Rows stay as they are, repeated or not, and none come of an empty
+    table; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary, lexicon)
         for batch in batches:
-            ids = list(encoder.encode_all(t.as_py() or "" for t in batch["text"]))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary()), pa.array(map(encoder.decode, ids), pa.string())], names=["doc_id", "ids", "decoded"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
+            texts, at = batch["text"], 0
+            size = pc.fill_null(pc.binary_length(texts), 0).to_numpy().cumsum()
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + HANDED, "right")))
+                ids = list(encoder.encode_all(t.as_py() or "" for t in texts.slice(at, end - at)))
+                columns = [batch[c].slice(at, end - at) for c in keep] + [pa.array(ids, pa.binary())]
+                if decode:
+                    columns.append(pa.array(map(encoder.decode, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "decoded"][: len(columns)])
+                at = end
+
+    rows = docs.select(*keep, "text")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]] + ["ids binary"] + ["decoded string"] * decode
+    return spread(rows).mapInArrow(run, ", ".join(kinds))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread, table
 
-#: Texts sampled for training, about; half of each posterior class where there are enough.
-SAMPLE = 4000
+#: Texts sampled for training, about, half of each posterior class where there are enough; fewer where their features would take more than SAMPLE_BYTES on the driver.
+SAMPLE, SAMPLE_BYTES = 4000, 200 << 20
 #: Hashed features: byte trigrams, and one binned value of each statistic.
 ROWS = 1 << 16
 EPOCHS, RATE, SEED = 5, 0.5, 11
@@ -76,7 +76,7 @@ def votes(s: tuple[float, ...]) -> tuple[int, ...]:
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = ["".join("01-"[v] for v in votes(statistics(t.as_py() or b""))) for t in batch["text"].cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.string())], names=["doc_id", "votes"])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["votes"])
 
 
 class LabelModel:
@@ -149,24 +149,26 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(texts: list[bytes], labels: list[float], corpus_share: float) -> Scorer:
-    """Stochastic gradient descent with per-weight (Adagrad) steps on soft labels, classes balanced.
+def packed(text: bytes) -> tuple[bytes, bytes]:
+    """(rows, values) of a text for fit(): shares of trigrams, and 1 for each binned statistic."""
+    counts, rows = features(text)
+    ids = np.nonzero(counts)[0]
+    return np.concatenate([ids, rows]).astype(np.uint32).tobytes(), np.concatenate([counts[ids] / max(1.0, counts.sum()), np.ones(len(rows))]).astype(np.float32).tobytes()
+
+
+def fit(made: list[tuple[np.ndarray, np.ndarray]], labels: list[float], corpus_share: float) -> Scorer:
+    """Stochastic gradient descent with per-weight (Adagrad) steps on soft labels of (rows, values), classes balanced.
 
     The bias is then moved from even classes to the share of good texts in the corpus.
     """
     weights, sums, bias = np.zeros(ROWS, np.float64), np.full(ROWS, 1e-4), 0.0
-    if not texts:
+    if not made:
         return Scorer(weights.astype(np.float32), 0.0)
-    made = []
-    for t in texts:
-        counts, rows = features(t)
-        ids = np.nonzero(counts)[0]
-        made.append((np.concatenate([ids, rows]), np.concatenate([counts[ids] / max(1.0, counts.sum()), np.ones(len(rows))])))
     y = np.asarray(labels)
     share = min(0.95, max(0.05, float(y.mean())))
     rng = np.random.default_rng(SEED)
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(texts)):
+        for i in rng.permutation(len(made)):
             ids, x = made[i]
             p = 1 / (1 + np.exp(-np.clip(weights[ids] @ x + bias, -30, 30)))
             g = (p - y[i]) * (0.5 / share if y[i] >= 0.5 else 0.5 / (1 - share))
@@ -181,14 +183,19 @@ def fit(texts: list[bytes], labels: list[float], corpus_share: float) -> Scorer:
 def learn(docs: DataFrame) -> tuple[LabelModel, Scorer]:
     """The label model of all texts' votes, and the scorer learned from a sample of about SAMPLE texts.
 
-    At most 3**8 patterns of votes come to the driver, whatever the size of the corpus.
+    At most 3**8 patterns of votes come to the driver, whatever the size of the corpus, and
+    of the sample its hashed features.
     """
-    voted = docs.select("doc_id", "text").mapInArrow(_vote, "doc_id long, votes string")
+    texts = spread(docs.select("text"))
+    voted = texts.mapInArrow(_vote, "votes string")
     counts = {r.votes: r["count"] for r in voted.groupBy("votes").count().collect()}
     model = LabelModel(counts)
     good = sum(n for p, n in counts.items() if model.posterior[p] >= 0.5)
     total = sum(counts.values())
-    cut = {True: SAMPLE / 2 / max(1, good), False: SAMPLE / 2 / max(1, total - good)}
+    # a text has a trigram a byte at most, 8 bytes each
+    wide = docs.agg(F.avg(F.least(F.octet_length("text"), F.lit(ROWS // 2)))).first()[0] or 0.0
+    half = min(SAMPLE, SAMPLE_BYTES / (8 * max(1.0, wide))) / 2
+    cut = {True: half / max(1, good), False: half / max(1, total - good)}
     posterior, width = model.posterior, 2**31
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,23 +205,26 @@ def learn(docs: DataFrame) -> tuple[LabelModel, Scorer]:
             rows = []
             for text in batch["text"].cast(pa.binary()):
                 b = text.as_py() or b""
-                lot = xxhash.xxh3_64_intdigest(b) % width / width
+                key = xxhash.xxh3_128_digest(b)
+                lot = int.from_bytes(key[:8], "little") % width / width
                 if lot < max(cut.values()):
                     p = posterior.get("".join("01-"[v] for v in votes(statistics(b))), 0.5)
                     if lot < cut[p >= 0.5]:
-                        rows.append((b, p))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.float64())], names=["text", "posterior"])
+                        rows.append((key, p, *packed(b)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.binary(), pa.float64(), pa.binary(), pa.binary()))], names=["key", "posterior", "rows", "values"])
 
     # equal texts draw the same lot, and count once: a hot copy does not fill the sample
-    picked = docs.select("text").mapInArrow(pick, "text binary, posterior double").dropDuplicates(["text"]).limit(2 * SAMPLE).collect()
-    picked = sorted((bytes(r.text), r.posterior) for r in picked)
-    return model, fit([t for t, _ in picked], [p for _, p in picked], model.share)
+    picked = texts.mapInArrow(pick, "key binary, posterior double, rows binary, values binary").dropDuplicates(["key"]).collect()
+    picked.sort(key=lambda r: bytes(r.key))
+    return model, fit([(np.frombuffer(r.rows, np.uint32), np.frombuffer(r["values"], np.float32)) for r in picked], [r.posterior for r in picked], model.share)
 
 
 def classified(docs: DataFrame, scorer: Scorer, least: float = LEAST) -> DataFrame:
     """(doc_id, score, kept) for every row of ``docs`` (doc_id, text, ...): kept if the score is ``least`` or more.
 
-    A null text is an empty one. Rows are scored each; other columns are not read.
+    A null text is an empty one. A text of any length is scored whole, repeated rows are scored
+    each, an empty table gives no rows; other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast((scorer.weights, scorer.bias))
 
@@ -224,11 +234,11 @@ def classified(docs: DataFrame, scorer: Scorer, least: float = LEAST) -> DataFra
             score = np.array([scorer.score(t.as_py() or b"") for t in batch["text"].cast(pa.binary())], float)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(score, pa.float64()), pa.array(score >= least, pa.bool_())], names=["doc_id", "score", "kept"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, kept boolean")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, score double, kept boolean")
 
 
 def kept_rows(docs: DataFrame, scorer: Scorer, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that classified() keeps."""
+    """The rows of ``docs``, with all their columns, that classified() keeps; nulls, long texts and repeated rows are as there."""
     sent = docs.sparkSession.sparkContext.broadcast((scorer.weights, scorer.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,6 +57,12 @@ def written(df: DataFrame, kind: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew if it is read in fewer parts than there are cores, as a small table in one file is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes scratch tables that nothing reads any more."""
     for df in tables:

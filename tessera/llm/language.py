@@ -3,9 +3,10 @@
 A text's subwords are its runs of two to four UTF-8 bytes that lie in one word or touch its
 ends. Each hashes to a row of an embedding table; the mean of a text's rows goes through a
 linear layer and a softmax. Table and layer are trained together by stochastic gradient
-descent in numpy, on a bounded sample of the labelled texts. A part of the sample that
-training does not see sets a temperature, so that the score is a calibrated probability, and
-the score below which a prediction should be rejected.
+descent in numpy, on a bounded sample of the labelled texts, of which only their hashed
+subwords come to the driver. A part of the sample that training does not see sets a
+temperature, so that the score is a calibrated probability, and the score below which a
+prediction should be rejected.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop, lookup, spread, table, written
 
-#: Most labelled texts taken of one language and of all, and most languages learned (the most frequent).
-PER_LANGUAGE, IN_ALL, LANGUAGES = 800, 12_000, 200
+#: Labelled texts taken, about: of one language and of all, but of each language at least LEAST; and bytes of their subwords in all.
+PER_LANGUAGE, IN_ALL, LEAST, SAMPLE_BYTES = 800, 12_000, 10, 200 << 20
 ROWS, DIMS, ORDERS = 1 << 16, 16, (2, 3, 4)
 EPOCHS, RATE, SEED = 6, 0.5, 7
 #: Least accuracy wanted of accepted predictions, on the calibration part of the sample.
@@ -67,20 +68,31 @@ def has_letter(text: str | None) -> bool:
 
 
 class Model:
-    """languages, and the table that gives each subword's share of the logits (embedding times layer)."""
+    """languages, embedding table, linear layer and bias.
 
-    def __init__(self, languages: list[str], logits: np.ndarray, bias: np.ndarray, temperature: float, least: float):
-        self.languages, self.logits, self.bias, self.temperature, self.least = languages, logits, bias, temperature, least
+    For few languages the table is multiplied by the layer beforehand, so that each subword
+    has its share of the logits; for many, embeddings are averaged first, and the model's
+    size does not grow with languages times subwords.
+    """
+
+    def __init__(self, languages: list[str], rows: np.ndarray, layer: np.ndarray | None, bias: np.ndarray, temperature: float, least: float):
+        self.languages, self.bias, self.temperature, self.least = languages, bias, temperature, least
+        self.rows, self.layer = (rows @ layer, None) if layer is not None and len(languages) <= DIMS else (rows, layer)
+
+    def parts(self) -> tuple:
+        return self.languages, self.rows, self.layer, self.bias, self.temperature, self.least
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated probability, and whether the score is high enough to accept it."""
         if not self.languages or not has_letter(text):
             return NONE, 0.0, False
-        total, n = np.zeros(len(self.languages)), 0
+        total, n = np.zeros(self.rows.shape[1]), 0
         for ids in subwords(text):
-            total += self.logits[ids].sum(0)
+            total += self.rows[ids].sum(0)
             n += len(ids)
-        p = softmax((total / max(1, n) + self.bias) / self.temperature)
+        mean = total / max(1, n)
+        z = (mean if self.layer is None else mean @ self.layer) + self.bias
+        p = softmax(z / self.temperature)
         best = int(p.argmax())
         return self.languages[best], float(p[best]), bool(p[best] >= self.least)
 
@@ -90,72 +102,102 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def fit(texts: list[str], labels: list[str]) -> Model:
-    """Trains on four fifths of the texts and calibrates on the rest."""
-    languages = sorted(set(labels))
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct subwords of the whole text and the share of each: at most ROWS, whatever its length."""
+    total = np.zeros(ROWS, np.int64)
+    for ids in subwords(text):
+        total += np.bincount(ids, minlength=ROWS)
+    ids = np.nonzero(total)[0]
+    return ids.astype(np.uint16), (total[ids] / max(1, total.sum())).astype(np.float32)
+
+
+def fit(samples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
+    """Trains on four fifths of the samples (label, subwords, shares) and calibrates on the rest.
+
+    Each step goes along the gradient of one text. In the table its length is such that the
+    text's mean embedding moves by RATE times its own gradient, however many subwords share in it.
+    """
+    languages = sorted({x for x, _, _ in samples})
     if not languages:
-        return Model([], np.zeros((ROWS, 0)), np.zeros(0), 1.0, 1.0)
-    y = np.array([languages.index(x) for x in labels])
+        return Model([], np.zeros((ROWS, DIMS), np.float32), None, np.zeros(0), 1.0, 1.0)
+    number = {x: i for i, x in enumerate(languages)}
+    y = np.array([number[x] for x, _, _ in samples])
     rng = np.random.default_rng(SEED)
-    features = []
-    for t in texts:
-        ids, n = np.unique(np.concatenate(list(subwords(t))), return_counts=True)
-        features.append((ids, (n / max(1, n.sum())).astype(np.float32)[:, None]))
-    order = rng.permutation(len(texts))
-    held = order[: len(texts) // 5] if len(texts) >= 50 else order
-    train = order[len(texts) // 5 :] if len(texts) >= 50 else order
+    order = rng.permutation(len(samples))
+    part = len(samples) // 5 if len(samples) >= 50 else 0
+    held, train = order[:part] if part else order, order[part:]
     table = (rng.standard_normal((ROWS, DIMS)) / DIMS).astype(np.float32)
     layer, bias = np.zeros((DIMS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     share = np.bincount(y[train], minlength=len(languages)) / len(train)
-    weight = 1 / np.maximum(share, 1e-9) / len(languages)
-    weight = np.minimum(weight, 20)
+    weight = np.minimum(1 / np.maximum(share, 1e-9) / len(languages), 20)
     steps = EPOCHS * len(train)
     for k, i in enumerate(np.concatenate([rng.permutation(train) for _ in range(EPOCHS)])):
-        ids, w = features[i]
+        _, ids, w = samples[i]
         if not len(ids):
             continue
         rate = RATE * weight[y[i]] * (1 - k / steps)
-        mean = (table[ids] * w).sum(0)
+        mean = w @ table[ids]
         g = softmax(mean @ layer + bias)
         g[y[i]] -= 1
         down = layer @ g
         layer -= rate * np.outer(mean, g)
         bias -= 0.1 * rate * g
-        table[ids] -= (rate * len(ids)) * np.minimum(w, 1 / len(ids)) * down
-    logits = table @ layer
-    z = np.stack([(logits[ids] * w).sum(0) + bias for ids, w in (features[i] for i in held)])
+        table[ids] -= rate * (w / (w @ w))[:, None] * down
+    z = np.stack([(w @ table[ids]) @ layer + bias for _, ids, w in (samples[i] for i in held)])
     right = y[held]
     grid = np.geomspace(0.05, 20, 60)
     loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(held)), right], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
     p = softmax(z / temperature)
     top, ok = p.max(1), p.argmax(1) == right
-    by = np.argsort(-top)
+    by = np.argsort(-top, kind="stable")
     good = np.nonzero(np.cumsum(ok[by]) / np.arange(1, len(by) + 1) >= ACCURACY)[0]
     least = float(top[by][good[-1]]) if len(good) else 1.0
-    return Model(languages, logits.astype(np.float32), bias, temperature, least)
+    return Model(languages, table, layer, bias, temperature, least)
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for label, text in zip(batch["lang"].to_pylist(), batch["text"]):
+            text = text.as_py()
+            if has_letter(text):
+                ids, share = counted(text)
+                rows.append((label, ids.tobytes(), share.tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.string(), pa.binary(), pa.binary()))], names=["lang", "ids", "shares"])
 
 
-def labelled_sample(docs: DataFrame, usable: Column) -> tuple[list[str], list[str]]:
-    """Up to about PER_LANGUAGE texts of each (IN_ALL in all) of the LANGUAGES most frequent labels, chosen by a hash of doc_id."""
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return [], []
-    most = min(PER_LANGUAGE, IN_ALL // len(counts))
-    cut = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int(2**31 * min(1.0, most / r["count"])))])
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < cut[F.col("lang")]).select("doc_id", "text", "lang")
-    got = sorted((r.doc_id, r.text, r.lang) for r in picked.limit(2 * most * len(counts)).collect() if has_letter(r.text))
-    return [t for _, t, _ in got], [x for *_, x in got]
+def labelled_sample(docs: DataFrame, usable: Column) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(label, subwords, shares) of about PER_LANGUAGE texts of each label, IN_ALL in all, chosen by a hash of doc_id and text.
+
+    Every label is learned. Where there are many, or their texts are long, fewer texts are taken of
+    each, but about LEAST at least: the driver holds SAMPLE_BYTES or LEAST texts a language.
+    """
+    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    counts = written(rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.least(F.octet_length("text"), F.lit(ROWS))).alias("wide")), "languages")
+    known = counts.agg(F.count("*").alias("languages"), F.sum("wide").alias("wide")).first()
+    if not known.languages:
+        return []
+    # a text has up to two subwords a byte besides its words, 6 bytes each
+    most = max(LEAST, min(PER_LANGUAGE, IN_ALL // known.languages, int(SAMPLE_BYTES / (18 * max(1.0, known.wide)))))
+    cuts = counts.select("lang", "n", F.least(F.lit(1.0), most / F.col("n")).alias("_share"))
+    lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**31)) / float(2**31)
+    picked = lookup(rows, cuts, "lang", F.xxhash64("doc_id", "text"), docs.count()).where(lot < F.col("_share"))
+    got = picked.select("lang", "text").mapInArrow(_featured, "lang string, ids binary, shares binary").collect()
+    drop(counts)
+    got.sort(key=lambda r: (r.lang, bytes(r.ids), bytes(r.shares)))
+    return [(r.lang, np.frombuffer(r.ids, np.uint16), np.frombuffer(r.shares, np.float32)) for r in got]
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, accepted) for every row of ``docs`` (doc_id, text, ...).
 
     Null texts and texts without a letter are ``und`` with score 0 and not accepted, and so
-    are all texts if nothing was learned. Rows are judged each; other columns are not read.
+    are all texts if nothing was learned. A text of any length is judged whole, repeated rows
+    are judged each, an empty table gives no rows; other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.logits, model.bias, model.temperature, model.least))
+    sent = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*sent.value)
@@ -164,12 +206,11 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
             lang, score, ok = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], names=["doc_id", "lang_pred", "score", "accepted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    model = fit(*labelled_sample(docs, ~held))
-    out = identified(docs, model)
-    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+    model = fit(labelled_sample(docs, ~held))
+    return identified(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, join_heavy, table, written
+from .common import drop, join_heavy, spread, table, written
 from .graph import components, union_find
 
 PERMUTATIONS, BANDS, ROWS = 100, 40, 5
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Other columns of ``docs`` are not read.
     """
     docs = docs.select("doc_id", "text")
-    signed = written(docs.mapInArrow(_sign(width), "doc_id long, n_shingles long, digest binary, sig binary, keys array<long>"), "signed")
+    signed = written(spread(docs).mapInArrow(_sign(width), "doc_id long, n_shingles long, digest binary, sig binary, keys array<long>"), "signed")
     total = signed.count()
     classes = written(
         signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes"

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import spread, table
 
 #: (bytes up to, least ratio, most ratio) of whole documents; the last band has no end. Prose reaches
 #: 0.73 up to 1 KB, 0.58 up to 8 KB, 0.45 above and 0.48 in chunks; random base64 words have 0.86, 0.76, 0.73 and 0.72 at 400 B, 1, 8 and 20 KB.
@@ -91,14 +91,14 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, ...): counts, ratios and the verdict ``kept``.
 
     A null, empty or blank text counts as no words; it fails the base rules and has a
-    null ratio only if it has no bytes. Repeated rows are judged each; other columns
-    are not read.
+    null ratio only if it has no bytes. A text of any length is judged whole. Repeated
+    rows are judged each, an empty table gives no rows; other columns are not read.
     """
-    return docs.select("doc_id", "text").mapInArrow(_judge, SCHEMA)
+    return spread(docs.select("doc_id", "text")).mapInArrow(_judge, SCHEMA)
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that quality_rules() keeps."""
+    """The rows of ``docs``, with all their columns, that quality_rules() keeps; nulls, long texts and repeated rows are as there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -14,6 +14,7 @@ is run again replaces its file as a whole.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -31,6 +32,20 @@ NO_ID = -(2**63)
 WORDS_KEPT, TOGETHER = 400_000, 1 << 20
 PUNCTUATION = re.compile(rb"(?<=[a-z0-9])([.,;:!?])")
 WORD_END = "</w>"
+#: Rows of a file that are read before they are handed on.
+ROWS = 4096
+#: The normalizer, splitter and model form under which words can be encoded one by one.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "end_of_word_suffix": WORD_END,
+}
 
 
 def masked_crc(data: bytes) -> int:
@@ -64,7 +79,8 @@ class WordIds(dict):
     drops white space, and it holds no special string with white space. So the ids of
     a text are those of its pieces, cut at ASCII white space and before PUNCTUATION after
     an ASCII letter or digit, with A-Z lower-cased; texts in which a special string
-    could stand are only cut at white space.
+    could stand are only cut at white space. A vocabulary of another form than BY_WORD, or with a
+    special string that holds white space or does not begin with ``<|``, encodes whole texts.
     """
 
     def __init__(self, vocabulary: str):
@@ -77,6 +93,9 @@ class WordIds(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size()
+        spec = json.loads(self.tokenizer.to_str())
+        form = {"normalizer": spec["normalizer"], "pre_tokenizer": spec["pre_tokenizer"], "end_of_word_suffix": spec["model"].get("end_of_word_suffix")}
+        self.by_word = form == BY_WORD and all(x["content"].startswith("<|") and not re.search(r"\s", x["content"]) and not x["normalized"] for x in spec["added_tokens"])
         self.ends = np.zeros(self.size, bool)
         for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = word.endswith(WORD_END)
@@ -106,6 +125,10 @@ class WordIds(dict):
                 self[w] = np.asarray(e.ids, np.uint32).tobytes()
 
     def encode_all(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        if not self.by_word:
+            for text in texts:
+                yield np.asarray(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
+            return
         waiting, size = [], 0
         for text in texts:
             waiting.append(self.cut(text))
@@ -161,9 +184,10 @@ def _write(folder: str, vocabulary: str, end_id: int):
 def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> DataFrame:
     """Writes ``docs`` (doc_id, text, ...) in ascending doc_id order; (part, path, docs, tokens, start) of each file.
 
-    Null ids come first, equal ids are ordered by a hash of the text, null texts are empty and still
-    get ``end_id``. Other columns are not read. The list of files meets in one task: one
-    row a file.
+    Null ids come first, equal ids are ordered by a hash of the text (rows equal in both follow each
+    other), null texts are empty and still get ``end_id``. A text of any length is one record. An
+    empty table makes no files. Other columns are not read. The list of files meets in one
+    task: one row a file.
     """
     spark = docs.sparkSession
     # the range bounds are sampled to the driver, so the tie-break is a hash and not the text
@@ -177,27 +201,75 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int) ->
     return out.repartition(max(1, len(listed)), "part")
 
 
+class RecordFile:
+    """One data file with its index: records by number, in any order, each checked against its checksums."""
+
+    def __init__(self, path: str):
+        fs, where = filesystem(path)
+        with fs.open_input_file(where + ".idx") as x:
+            self.index = np.frombuffer(x.read(), np.uint64).reshape(-1, 2).astype(np.int64)
+        self.data = fs.open_input_file(where + ".rec")
+        self.ends = np.append(self.index[1:, 0], self.data.size())
+
+    def __len__(self) -> int:
+        return len(self.index)
+
+    def __enter__(self) -> RecordFile:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.data.close()
+
+    def record(self, number: int) -> tuple[int | None, int, np.ndarray]:
+        """doc_id, ids before it in the file, and its ids; IndexError if there is no such record."""
+        if not 0 <= number < len(self.index):
+            raise IndexError(f"record {number} of {len(self.index)}")
+        offset, before = self.index[number].tolist()
+        self.data.seek(offset)
+        payload, _ = unframe(self.data.read(int(self.ends[number]) - offset))
+        which = int.from_bytes(payload[:8], "little", signed=True)
+        ids = np.frombuffer(payload, {2: np.uint16, 4: np.uint32}[payload[8]], offset=9)
+        return None if which == NO_ID else which, before, ids.astype(np.uint32)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for f in batch.to_pylist():
-            fs, path = filesystem(f["path"])
-            with fs.open_input_file(path + ".idx") as x:
-                index = np.frombuffer(x.read(), np.uint64).reshape(-1, 2).astype(np.int64)
-            doc, start, n, crc = [], [], [], []
-            with fs.open_input_file(path + ".rec") as x:
-                ends = np.append(index[1:, 0], x.size())
-                for (offset, before), end in zip(index.tolist(), ends.tolist()):
-                    x.seek(offset)
-                    payload, _ = unframe(x.read(end - offset))
-                    which = int.from_bytes(payload[:8], "little", signed=True)
-                    doc.append(None if which == NO_ID else which)
-                    start.append(f["start"] + before)
-                    ids = np.frombuffer(payload, {2: np.uint16, 4: np.uint32}[payload[8]], offset=9)
-                    n.append(len(ids))
-                    crc.append(zlib.crc32(ids.astype(np.uint32).tobytes()))
-            if len(doc) != f["docs"]:
-                raise ValueError(f"{path}: {len(doc)} records, {f['docs']} were written")
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+            with RecordFile(f["path"]) as file:
+                if len(file) != f["docs"]:
+                    raise ValueError(f"{f['path']}: {len(file)} records, {f['docs']} were written")
+                for at in range(0, len(file), ROWS):
+                    rows = [file.record(i) for i in range(at, min(at + ROWS, len(file)))]
+                    doc, before, ids = zip(*rows)
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": pa.array(doc, pa.int64()), "start": pa.array([f["start"] + x for x in before], pa.int64()),
+                        "n_tokens": pa.array(map(len, ids), pa.int64()), "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
+                    })
+
+
+def fetch_records(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(part, record, doc_id, ids) of the ``wanted`` (part, record) of the files, as a shuffled read asks for them.
+
+    Repeated wishes are answered each; one for a record that is not there fails. A task opens
+    each file that it reads once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, file = None, None
+        for batch in batches:
+            rows = []
+            for w in batch.to_pylist():
+                if w["path"] != path:
+                    if file is not None:
+                        file.data.close()
+                    path, file = w["path"], RecordFile(w["path"])
+                doc, _, ids = file.record(w["record"])
+                rows.append((w["part"], w["record"], doc, ids.tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "record", "doc_id", "ids"])
+
+    at = wanted.select("part", "record").join(files.select("part", "path"), "part")
+    return at.repartition("part").sortWithinPartitions("part", "record").mapInArrow(run, "part long, record long, doc_id long, ids binary")
 
 
 def read_records(files: DataFrame) -> DataFrame:

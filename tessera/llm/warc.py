@@ -25,8 +25,8 @@ FRAME_MAGIC = 0xFD2FB528
 DICT_BYTES, SAMPLE_BYTES = 32_768, 1_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEVEL = 3
-#: Bytes asked of the file at once.
-READ = 1 << 20
+#: Bytes asked of the file at once, and records handed on together.
+READ, ROWS = 1 << 20, 1024
 
 
 def digest(payload: bytes) -> str:
@@ -57,22 +57,25 @@ def parse(data: bytes) -> dict:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload; ValueError if it isn't sound."""
     head, found, rest = data.partition(b"\r\n\r\n")
     first, *lines = head.decode().split("\r\n")
-    fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
-    if not found or first != "WARC/1.1" or not fields.get("Content-Length", "").isdigit():
+    fields = {name.strip().lower(): value.strip() for name, _, value in (x.partition(":") for x in lines)}  # names are case-insensitive
+    if not found or first != "WARC/1.1" or not fields.get("content-length", "").isdigit():
         raise ValueError(f"not a record: {first[:40]!r}")
-    size = int(fields["Content-Length"])
+    missing = [x for x in ("warc-record-id", "warc-type", "warc-payload-digest", "warc-target-uri") if x not in fields]
+    if missing:
+        raise ValueError(f"a record without {', '.join(missing)}")
+    size = int(fields["content-length"])
     block, tail = rest[:size], rest[size:]
     if len(block) != size or tail != b"\r\n\r\n":
-        raise ValueError(f"{fields['WARC-Record-ID']}: block of {len(rest) - 4} bytes, {size} declared")
+        raise ValueError(f"{fields['warc-record-id']}: block of {len(rest) - 4} bytes, {size} declared")
     http, found, payload = block.partition(b"\r\n\r\n")
-    declared = next((int(x[16:]) for x in http.decode().split("\r\n") if x.startswith("Content-Length: ")), None)
+    declared = next((int(x[15:]) for x in http.decode().split("\r\n") if x.lower().startswith("content-length:")), None)
     name = lambda x: int(x) if (x := fields[x].removeprefix("<urn:page:").removesuffix(">")) else None
-    kind, sha = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    kind, sha = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
     if not found or declared is None or kind == "response" and (len(payload) != declared or digest(payload) != sha):
-        raise ValueError(f"{fields['WARC-Record-ID']}: payload does not match its header")
+        raise ValueError(f"{fields['warc-record-id']}: payload does not match its header")
     return {
-        "page_id": name("WARC-Record-ID"), "url": fields["WARC-Target-URI"], "payload_bytes": declared, "payload_digest": sha,
-        "record_type": kind, "refers_to": name("WARC-Refers-To") if kind == "revisit" else None, "payload": payload if kind == "response" else None,
+        "page_id": name("warc-record-id"), "url": fields["warc-target-uri"], "payload_bytes": declared, "payload_digest": sha,
+        "record_type": kind, "refers_to": name("warc-refers-to") if kind == "revisit" else None, "payload": payload if kind == "response" else None,
     }
 
 
@@ -176,7 +179,8 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) -> Dat
     A null html is an empty payload, a null url an empty one; line breaks in a url go. Of
     equal payloads of at least ``min_revisit_bytes`` bytes the largest page_id is the
     response, and so is every repeated row of it; where all ids are null, all are
-    responses. Other columns are not read.
+    responses. A page of any length is one record. An empty table makes no archive. Other
+    columns are not read.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", F.sha2(body, 256).alias("sha"), F.octet_length(body).alias("bytes"))
@@ -188,18 +192,27 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) -> Dat
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    columns = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+
+    def made(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in columns.items()], names=list(columns))
+
     for batch in batches:
         for f in batch.to_pylist():
             fs, path = filesystem(f["path"])
+            n, rows = 0, []
             with fs.open_input_stream(path, compression=None) as stream:
-                rows = []
                 for data in read_archive(stream):
                     rows.append(parse(data))
                     rows[-1]["payload"] = None  # the digest has been checked
-            if len(rows) != f["records"]:
-                raise ValueError(f"{path}: {len(rows)} records, {f['records']} were written")
-            columns = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in columns.items()], names=list(columns))
+                    n += 1
+                    if len(rows) == ROWS:
+                        yield made(rows)
+                        rows = []
+            if rows:
+                yield made(rows)
+            if n != f["records"]:
+                raise ValueError(f"{path}: {n} records, {f['records']} were written")
 
 
 def read_warc(files: DataFrame) -> DataFrame:

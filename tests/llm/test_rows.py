@@ -198,7 +198,8 @@ def test_archives_are_checked():
         with pytest.raises(ValueError):
             list(warc.read_archive(io.BytesIO(bad)))
     one = warc.record(1, "u", b"body", None)
-    for bad in (one.replace(b"body", b"bodx"), one[:-2], one.replace(b"WARC/1.1", b"WARC/9.9"), one.replace(b"Content-Length: 4", b"Content-Length: 5")):
+    assert warc.parse(one.replace(b"Content-Length", b"content-length").replace(b"WARC-Type: ", b"warc-TYPE:")) == warc.parse(one)
+    for bad in (one.replace(b"WARC-Type", b"WARC-Kind"), one.replace(b"body", b"bodx"), one[:-2], one.replace(b"WARC/1.1", b"WARC/9.9"), one.replace(b"Content-Length: 4", b"Content-Length: 5")):
         with pytest.raises(ValueError):
             warc.parse(bad)
 

@@ -4,11 +4,13 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, classifier, language, quality_rules, records
@@ -92,6 +94,30 @@ def test_records_round_trip(spark):
     assert records.read_records(records.write_records(docs.limit(0), folder + "x", WORD, 2)).collect() == []
 
 
+def test_records_are_fetched_in_any_order(spark):
+    docs = documents(spark, [(i, prose(i, 20)) for i in range(60)]).repartition(3)
+    files = records.write_records(docs, scratch_path(spark, "test"), WORD, 2)
+    listed = files.collect()
+    picks = [(f.part, k) for f in listed for k in (f.docs - 1, 0, f.docs // 2, 0)]
+    got = records.fetch_records(files, spark.createDataFrame(picks, "part long, record long")).collect()
+    assert sorted((r.part, r.record) for r in got) == sorted(picks)
+    library = Tokenizer.from_file(WORD)
+    for r in got:
+        assert np.frombuffer(r.ids, np.uint32).tolist() == [*library.encode(prose(r.doc_id, 20)).ids, 2]
+    with records.RecordFile(listed[0].path) as file, pytest.raises(IndexError):
+        file.record(len(file))
+
+
+def test_vocabularies_of_another_form(byte_library):
+    other = records.WordIds(BYTE)
+    assert not other.by_word and _words().by_word
+    texts = ["It's 12 o'clock,  <|endoftext|> ÀÉ", "", " a"]
+    got = [np.frombuffer(x, np.uint32).tolist() for x in other.encode_all(t.encode() for t in texts)]
+    assert got == [byte_library.encode(t, add_special_tokens=False).ids for t in texts]
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.Merges(WORD)
+
+
 def test_damaged_records_are_found():
     data = records.frame(b"abc") + records.frame(b"")
     first, at = records.unframe(data)
@@ -155,23 +181,123 @@ def sentences(tongue, n, seed):
     return [" ".join(rng.choice(TONGUES[tongue].split(), 12)) for _ in range(n)]
 
 
+def sampled(*tongues, n=40, seed=1):
+    return [(k, *language.counted(t)) for k in tongues for t in sentences(k, n, seed)]
+
+
+def naive_subwords(text):
+    """Rows of the runs of 2 to 4 bytes within a word or at its ends, one by one."""
+    b = b" " + bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.lower().encode()) + b" "
+    out = []
+    for n in (2, 3, 4):
+        for i in range(len(b) - n + 1):
+            run = b[i : i + n]
+            if 32 in run[1:-1] or run[0] == run[-1] == 32:
+                continue
+            h = n * 0x9E3779B1 % 2**32
+            for c in run:
+                h = (h ^ c) * 0x01000193 % 2**32
+            out.append((h ^ h >> 15) * 0x85EBCA6B % 2**32 >> 16)
+    return sorted(out)
+
+
+@settings(max_examples=200, deadline=None)
+@given(ANY_TEXT)
+def test_subwords(text):
+    assert sorted(np.concatenate(list(language.subwords(text))).tolist()) == naive_subwords(text)
+
+
 def test_language_model():
-    texts = [(t, k) for k in TONGUES for t in sentences(k, 40, 1)]
-    model = language.fit([t for t, _ in texts], [k for _, k in texts])
+    model = language.fit(sampled(*TONGUES))
     held = [(t, k) for k in TONGUES for t in sentences(k, 20, 2)]
     assert np.mean([model.predict(t)[0] == k for t, k in held]) > 0.98
     for nothing in (None, "", "  ", "123 !? \n", "²①"):
         assert model.predict(nothing) == ("und", 0.0, False)
     lang, score, _ = model.predict("kalo " * 400_000)
     assert lang == "xx" and 0 <= score <= 1
-    assert language.fit([], []).predict("kalo mira") == ("und", 0.0, False)
+    assert language.fit([]).predict("kalo mira") == ("und", 0.0, False)
+
+
+def test_every_label_is_learned(spark):
+    rng = np.random.default_rng(8)
+    words = {k: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(6)] for k in (f"l{i}" for i in range(230))}
+    rows = [(i, " ".join(rng.choice(words[k], 15)), k) for i, k in enumerate(k for k in words for _ in range(14))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(language.labelled_sample(docs, F.lit(True)))
+    assert set(model.languages) == set(words)
+    right = np.mean([model.predict(t)[0] == k for _, t, k in rows])
+    assert right > 0.9
 
 
 def test_language_of_awkward_rows(spark):
-    model = language.fit([t for t in sentences("xx", 5, 1) + sentences("yy", 5, 1)], ["xx"] * 5 + ["yy"] * 5)
+    model = language.fit(sampled("xx", "yy", n=5))
     out = language.identified(documents(spark, AWKWARD), model).collect()
     assert len(out) == len(AWKWARD) and {r.doc_id: r.lang_pred for r in out}[1] == "und"
     assert language.identified(documents(spark, AWKWARD).limit(0), model).collect() == []
+    docs = documents(spark, AWKWARD)
+    assert {k for k, _, _ in language.labelled_sample(docs, F.lit(True))} == {"en"} and language.labelled_sample(docs.limit(0), F.lit(True)) == []
+
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def test_op2_on_held_out_documents(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    got = {r.doc_id: r for r in language.op2_language(spark, SMALL).collect()}
+    assert got.keys() == rows.keys()
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(map(str.isalpha, rows[i].text or "")))
+    judged = [(r.lang_pred == rows[i].lang, r.score) for i, r in got.items() if r.held_out and rows[i].lang is not None and r.lang_pred != "und"]
+    right, score = np.array(judged, float).T
+    assert len(judged) > 200 and right.mean() > 0.97 and abs(right.mean() - score.mean()) < 0.04  # accurate and calibrated
+    # neither labels of held-out documents nor sources have a part in it
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    docs.withColumn("lang", F.when(held, "zz").otherwise(F.col("lang"))).withColumn("source", F.lit("x")).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: (r.lang_pred, r.score) for r in language.op2_language(spark, str(tmp_path)).collect()} == {i: (r.lang_pred, r.score) for i, r in got.items()}
+
+
+def naive_score(text, scorer):
+    """The scorer's probability, feature by feature."""
+    words, low = text.split(), text.lower()
+    total = 0.0
+    for i in range(len(low) - 2):
+        h = ((low[i] * 0x01000193 % 2**32 ^ low[i + 1]) * 0x01000193 % 2**32) ^ low[i + 2]
+        total += float(scorer.weights[h * 0x9E3779B1 % 2**32 >> 17])
+    z = total / max(1, len(low) - 2) + sum(float(scorer.weights[k]) for k in classifier.stat_rows(classifier.statistics(text)))
+    return 1 / (1 + np.exp(-(scorer.bias + z * min(1, len(words) / classifier.ENOUGH_WORDS))))
+
+
+def test_op9_against_labels_and_brute_force(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in classifier.op9_classifier(spark, SMALL).collect()}
+    assert got.keys() == texts.keys() and all(r.kept == (r.score >= classifier.LEAST) for r in got.values())
+    _, scorer = classifier.learn(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    for i in sorted(texts, key=lambda i: len(texts[i]))[::25]:
+        assert got[i].score == pytest.approx(naive_score(texts[i], scorer), abs=1e-4)
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    good, bad = (np.array([got[i].score for i, q in quality.items() if q == k]) for k in (1, 0))
+    auc = ((good[:, None] > bad).mean() + (good[:, None] == bad).mean() / 2) if len(bad) else 1.0
+    assert auc > 0.97 and np.mean([got[i].kept for i, q in quality.items() if q == 1]) > 0.97
+
+
+def test_op5_base_columns_match_sql(spark):
+    got = sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.op5_quality_rules(spark, SMALL).collect())
+    assert got == duckdb.sql(BASE_SQL.replace("documents", f"'{SMALL}/documents.parquet'")).fetchall()
+
+
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, ws, list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS win FROM d),
+u AS (SELECT doc_id, unnest(win) AS win, unnest(range(1, len(win) + 1)) AS i FROM w),
+m AS (SELECT doc_id, i FROM u WHERE (doc_id, win) IN (SELECT (doc_id, win) FROM u GROUP BY doc_id, win HAVING count(*) > 1)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM m, range(3) t(k) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+n AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT doc_id, len(ws), coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT, len(regexp_extract_all(text, '[#*$%&|<>]')), coalesce(n.n, 0), coalesce(r.n, 0), len(ws) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(ws)
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) ORDER BY doc_id
+"""
 
 
 def test_label_model_finds_accuracies():
