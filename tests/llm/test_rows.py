@@ -8,6 +8,8 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, common, mixing, vectors, warc
@@ -223,6 +225,25 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert got == {i: (int(m.sum()), 100 + int(r)) for (i, _), m, r in zip(rows, mask, root)}
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 300))
+def test_short_vectors_lie_as_far_as_they_say(seed, dim):
+    v = vectors.unit(np.random.default_rng(seed).standard_normal(dim) ** 3)
+    b = vectors.short(v)
+    scale, off = np.frombuffer(b[:8], np.float32)
+    assert np.linalg.norm(v - np.frombuffer(b[8:], np.int8) * np.float64(scale)) <= off
+    assert (vectors.unpack(vectors.pack(v)) == v).all() and len(vectors.pack(v.astype(np.float32).astype(float))) == 4 * dim + 1
+
+
+def test_long_vectors_and_a_crowd_of_distinct_ones(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((3, 3000))
+    rows = [base[0] + 0.1 * rng.standard_normal(3000) for _ in range(300)] + [base[1], base[2]] + [base[1] + 0.3 * rng.standard_normal(3000)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(embeddings(spark, [(i, v.tolist()) for i, v in enumerate(rows)])).collect()}
+    assert got == {i: (299, 0) for i in range(300)} | {300: (1, 300), 301: (0, 301), 302: (1, 300)}
+
+
 def test_awkward_vectors(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [1.0, math.inf]), (6, [math.nan, 1.0]), (7, [1.0, 2.0]), (8, [1.0, 2.0]), (8, [1.0, 2.0]), (9, [1e300, 2e300]), (10, [1.0, 2.0, 0.0]), (None, [1.0, 2.0])]
     got = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(embeddings(spark, rows)).collect()))
@@ -237,9 +258,13 @@ def test_recall_at_the_threshold():
     b = rng.standard_normal((400, 64))
     b -= (b * a).sum(1, keepdims=True) * a
     b /= np.linalg.norm(b, axis=1, keepdims=True)
-    made: dict = {}
-    found = (vectors.table_keys(a, made) == vectors.table_keys(0.9 * a + math.sqrt(1 - 0.81) * b, made)).any(1)
-    assert found.mean() > 0.97
+    for n in (1000, 50_000, 1_000_000):
+        tables, hashes = vectors.shape(n)
+        made: dict = {}
+        found = (vectors.table_keys(a, tables, hashes, made) == vectors.table_keys(0.9 * a + math.sqrt(1 - 0.81) * b, tables, hashes, made)).any(1)
+        assert found.mean() > 0.98
+        strangers = (vectors.table_keys(a, tables, hashes, made) == vectors.table_keys(b, tables, hashes, made)).sum()
+        assert strangers / 400 * n < 3 * vectors.MEETINGS
 
 
 def test_joins_of_hot_keys(spark):
