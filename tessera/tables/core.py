@@ -6,7 +6,8 @@ import datetime
 
 from ..functions.codes import DMDCode, ICD10Code, SNOMEDCTCode
 from ..functions.constraints import Constraint
-from ..language import EventFrame, PatientFrame, Series, _named, table
+from ..language import EventFrame, PatientFrame, Series, table
+from ._parts import add_columns
 
 __all__ = ["clinical_events", "medications", "ons_deaths", "patients", "practice_registrations"]
 
@@ -59,8 +60,7 @@ class _Deaths(PatientFrame):
         return found
 
 
-for _i in range(1, 16):
-    setattr(_Deaths, f"cause_of_death_{_i:02}", _named(f"cause_of_death_{_i:02}", ICD10Code))
+add_columns(_Deaths, (f"cause_of_death_{i:02}" for i in range(1, 16)), ICD10Code)
 
 
 @table
@@ -70,6 +70,9 @@ class ons_deaths(_Deaths):
 
 @table
 class clinical_events(EventFrame):
+    class _meta:
+        activation_filter_field = "date"
+
     date = Series(datetime.date)
     snomedct_code = Series(SNOMEDCTCode)
     numeric_value = Series(float)
@@ -77,5 +80,8 @@ class clinical_events(EventFrame):
 
 @table
 class medications(EventFrame):
+    class _meta:
+        activation_filter_field = "date"
+
     date = Series(datetime.date)
     dmd_code = Series(DMDCode)

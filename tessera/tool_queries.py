@@ -112,6 +112,35 @@ custom(
 )
 
 
+@table
+class visits(EventFrame):
+    class _meta:
+        activation_filter_field = "date"
+
+    date = Series(datetime.date)
+    value = Series(float)
+
+
+@table
+class activated(PatientFrame):
+    end_date = Series(datetime.date)
+
+
+def _activated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dataset = create_dataset()
+    dataset.define_population(everyone)
+    dataset.n, dataset.last = visits.count_for_patient(), visits.date.maximum_for_patient()
+    own = engine(spark, sf_dir, modify=rewrites.both(rewrites.only(activated), rewrites.up_to(activated.end_date)))
+    own.catalog.tables |= {
+        "visits": QueryTable("SELECT user_id AS patient_id, CAST(ts AS date) AS date, value FROM {events}"),
+        "activated": QueryTable("SELECT c_custkey AS patient_id, CASE WHEN c_nationkey > 2 THEN DATE '2024-01-15' END AS end_date FROM {customer} WHERE c_nationkey < 20"),
+    }
+    return own.dataset(dataset)
+
+
+custom("activated_up_to_a_day", _activated, "SELECT c.patient_id, count(date) AS n, max(date) AS last FROM {c} c LEFT JOIN {a} a ON a.patient_id = c.patient_id AND date <= DATE '2024-01-15' WHERE nation > 2 AND nation < 20 GROUP BY 1")
+
+
 def _outcome(run: Callable, *errors: type) -> str:
     try:
         run()

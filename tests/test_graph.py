@@ -205,3 +205,27 @@ def test_rewrites():
     active = sometimes.where(sometimes.on)
     assert predicate == (active.exists_for_patient() & ~opted_out.exists_for_patient())._node
     assert variables["v"] == active.where(active.x > 1).x.sum_for_patient()._node
+
+
+def test_declared_schemas():
+    from tessera.tables import core, emis, emisv2, raw, smoketest, tpp  # noqa: F401
+    from tessera.tables.raw import core as raw_core
+    from tessera.tables.raw import tpp as raw_tpp
+
+    for module in (core, emis, emisv2, smoketest, tpp, raw_core, raw_tpp):
+        assert sorted(module.__all__) == list(module.__all__) and all(getattr(module, x)._frame.schema.names for x in module.__all__)
+    home = tpp.addresses.for_patient_on("2020-01-01")
+    assert home.imd_quintile._node.type is str and home.imd_decile._node.type is str
+    assert tpp.decision_support_values.electronic_frailty_index().numeric_value._node.type is float
+    assert tpp.appointments._frame.required_permission == "appointments" and tpp.clinical_events._frame.activation_filter_field == "date"
+    assert raw_tpp.isaric._frame.name == "isaric_raw" and not tpp.parents._frame.activation_filter_field
+    assert tpp.ons_deaths.cause_of_death_is_in(["A01"])._node.type is bool
+
+
+def test_bands_of_deprivation():
+    from tessera.tables._parts import AREAS, deprivation_band
+
+    node = deprivation_band(p.i1, 5)._node
+    labels = [v.value for _, v in node.cases]
+    assert labels == ["1 (most deprived)", "2", "3", "4", "5 (least deprived)"] and node.default.value == "unknown"
+    assert [c.args[-1].value for c, _ in node.cases[1:]] == [AREAS * k // 5 for k in (2, 3, 4, 5)]
