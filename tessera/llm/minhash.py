@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, join_heavy, spread, table, written
+from .common import drop, join_heavy, lookup, spread, table, written
 from .graph import components, union_find
 
 PERMUTATIONS, BANDS, ROWS = 100, 40, 5
@@ -39,6 +39,8 @@ CLOSE = 0.85
 CROWD = 1024
 #: A cluster of up to 2 * TILE classes is one tile; larger ones are cut into blocks of TILE to MOST_TILE.
 TILE, MOST_TILE, BLOCKS = 128, 2048, 24
+#: Shingles of a block of full sets, about (8 bytes each): blocks are made smaller where documents are long.
+TILE_SHINGLES = 2_000_000
 #: Hash words kept by a worker before it starts anew (about 60 bytes each).
 WORDS_KEPT = 500_000
 
@@ -198,17 +200,21 @@ def linked(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray
     used, col = np.unique(col, return_inverse=True)
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    both = np.zeros((m, m), np.float32)  # counts stay exact: sets hold under 2**24 shingles in a chunk
-    total = np.zeros((m, m), np.int64)
+    both = np.zeros((m, m), np.float32)
+    total = np.zeros((m, m), np.float32 if size.max() < 1 << 24 else np.float64)  # either way counts stay exact
     for lo in range(0, len(used), 4096):
         s, e = np.searchsorted(col, [lo, lo + 4096])
         dense = np.zeros((m, min(4096, len(used) - lo)), np.float32)
         dense[row[s:e], col[s:e] - lo] = 1
         np.matmul(dense, dense.T, out=both)
-        total += both.astype(np.int64)
-    union = size[:, None] + size[None, :] - total
-    ia, ib = np.nonzero(np.tril(100 * total >= percent * union, -1))
-    return ia, ib
+        total += both
+    ia, ib = [], []
+    for lo in range(0, m, 256):
+        shared = total[lo : lo + 256].astype(np.int64)
+        i, j = np.nonzero(100 * shared >= percent * (size[lo : lo + 256, None] + size[None, :] - shared))
+        keep = j < i + lo
+        ia.append(i[keep] + lo), ib.append(j[keep])
+    return np.concatenate(ia), np.concatenate(ib)
 
 
 def _verify(percent: int):
@@ -230,8 +236,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Two documents are linked if 100 * |intersection| >= percent * |union| of their
     sets of distinct ``width``-word shingles. component_id is the smallest doc_id
     that links reach, the document's own included; kept is doc_id = component_id.
-    Null, empty and blank texts have no shingles and link with nothing. Rows that
-    share a doc_id are one document with several texts. A row with a null doc_id
+    Null, empty and blank texts have no shingles and link with nothing; texts of any length
+    count whole; an empty table gives no rows. Rows that share a doc_id are one document with
+    several texts. A row with a null doc_id
     takes the component of its equals, or null; it is kept in the second case.
     Other columns of ``docs`` are not read.
     """
@@ -242,20 +249,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes"
     )
     # one signature row for each class: its smallest document's
-    reps = signed.where("digest is not null").select("doc_id", "digest", "sig", "keys").dropDuplicates(["doc_id", "digest"])
-    reps = written(
-        reps.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).select(F.col("doc_id").alias("rep"), "sig", "keys"), "reps"
-    )
-    rows = reps.select("rep", F.explode("keys").alias("key"))
-    lead = rows.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("leader"), F.count("*").alias("n")).where("n > 1")
-    led = written(rows.join(lead, "key").where("rep != leader").select("key", "rep", F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"), "n"), "led")
+    reps = signed.where("digest is not null").select("doc_id", "digest", "sig", "keys").join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
+    reps = written(reps.dropDuplicates(["digest", "doc_id"]).select(F.col("doc_id").alias("rep"), "sig", "keys"), "reps")
+    rows = written(reps.select("rep", F.explode("keys").alias("key")), "bands")
+    banded = rows.count()
+    lead = written(rows.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader", "n", F.col("n").alias("size")), "leaders")
+    led = written(join_heavy(rows, lead, "key", F.col("rep"), banded).where("rep != leader"), "led")  # null leaders go too
     sig = reps.select("rep", "sig").dropDuplicates(["rep"])
-    pairs = led.select("a", "b").distinct()
-    pairs = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
-    pairs = pairs.join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    met = written(pairs.mapInArrow(_agree, "a long, b long, agree double"), "met")
+    pairs = written(led.select("rep", "leader").distinct(), "pairs")
+    heads = written(pairs.groupBy("leader").agg(F.count("*").alias("n")).join(sig.select(F.col("rep").alias("leader"), F.col("sig").alias("sig_b")), "leader"), "heads")
+    both = join_heavy(pairs.join(sig.withColumnRenamed("sig", "sig_a"), "rep"), heads, "leader", F.col("rep"), pairs.count())
+    met = written(both.select(F.col("rep").alias("a"), F.col("leader").alias("b"), "sig_a", "sig_b").mapInArrow(_agree, "a long, b long, agree double"), "met")
     # a bucket whose leader rejects nobody hangs together already
-    apart = written(led.where("n > 2").join(met.where(F.col("agree") < CLOSE), ["a", "b"]).select("key", "rep", "agree"), "apart")
+    unlike = met.where(F.col("agree") < CLOSE).select(F.col("a").alias("rep"), F.col("b").alias("leader"), "agree")
+    apart = written(led.where("size > 2").join(unlike, ["rep", "leader"]).select("key", "rep", "agree"), "apart")
     crowds = apart.groupBy("key").agg(F.count("*").alias("n"), F.min("agree").alias("least")).where((F.col("n") > 1) & (F.col("least") < COARSE))
     blocks = F.when(F.col("n") <= 2 * CROWD, 1).otherwise(F.ceil(F.col("n") / CROWD)).cast("int")
     crowds = written(crowds.select("key", "n", blocks.alias("blocks")), "crowds")
@@ -265,12 +272,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tiles = tiles.select("rep", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sig, "rep")
     tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     clusters = components(met.where(F.col("agree") >= COARSE).select("a", "b").union(tiles.mapInArrow(_crowded, "a long, b long")), "a", "b")
-    members = clusters.count()
-    sizes = written(clusters.groupBy("component").agg(F.count("*").alias("n")), "sizes")
-    block = F.greatest(F.lit(TILE), F.least(F.lit(MOST_TILE), F.ceil(F.col("n") / BLOCKS)))
-    plan = sizes.select("component", "n", F.when(F.col("n") <= 2 * TILE, 1).otherwise(F.ceil(F.col("n") / block)).cast("int").alias("blocks"))
-    placed = join_heavy(clusters, plan, "component", F.col("node"), members)
-    full = docs.join(placed.withColumnRenamed("node", "doc_id"), "doc_id").mapInArrow(_sets(width), "rep long, component long, blocks int, shingles binary")
+
+    # full sets are made of the clusters' members only; blocks of a cluster are bounded in sets and in bytes
+    weights = signed.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("words"))
+    weighed = clusters.join(weights, "node")
+    sizes = written(weighed.groupBy("component").agg(F.count("*").alias("n"), F.sum("words").alias("words")), "sizes")
+    most = F.greatest(F.lit(TILE), F.least(F.lit(MOST_TILE), F.ceil(F.col("n") / BLOCKS)))
+    parts = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("words") / TILE_SHINGLES))
+    few = (F.col("n") <= 2 * TILE) & (F.col("words") <= 2 * TILE_SHINGLES)
+    plan = written(sizes.select("component", "n", F.when(few, 1).otherwise(F.least(F.col("n"), parts)).cast("int").alias("blocks")), "plan")
+    placed = join_heavy(clusters, plan, "component", F.col("node"), clusters.count())
+    placed = written(placed.select(F.col("node").alias("doc_id"), "component", "blocks", F.lit(1).alias("n")), "placed")
+    full = lookup(docs, placed, "doc_id", F.xxhash64("text"), total).where("component is not null")
+    full = full.mapInArrow(_sets(width), "rep long, component long, blocks int, shingles binary")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     tiles = full.select("rep", "component", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiles = tiles.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "shingles")
@@ -282,7 +296,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     out = join_heavy(signed.select("doc_id", "n_shingles", "digest"), named, "digest", F.xxhash64("doc_id"), total)
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    drop(classes, reps, led, met, apart, crowds, sizes, clusters, found)
+    drop(classes, reps, rows, lead, led, pairs, heads, met, apart, crowds, sizes, plan, placed, clusters, found)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
