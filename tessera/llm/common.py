@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
+from types import ModuleType
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,6 +89,15 @@ def _clean() -> None:
             return
 
 
+def per_worker(key: tuple, make: Callable):
+    """What ``make`` returns, kept by the Python worker for its next task that asks for the same; one thing at a time."""
+    kept = sys.modules.setdefault("_tessera_worker", ModuleType("_tessera_worker")).__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
+
+
 def filesystem(path: str):
     """(pyarrow file system, path in it) of a path in the shared folder, on driver or executor."""
     from pyarrow import fs

@@ -17,20 +17,23 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, scratch_path, table
+from .common import filesystem, per_worker, scratch_path, table
 
 MASK_DELTA = 0xA282EAD8
 NO_ID = -(2**63)
-#: Distinct words whose ids a worker keeps before it starts anew, and bytes of text whose new words are encoded together.
-WORDS_KEPT, TOGETHER = 400_000, 1 << 20
-PUNCTUATION = re.compile(rb"(?<=[a-z0-9])([.,;:!?])")
+#: Distinct words whose ids a worker keeps before it forgets all but the last ones, and bytes of text encoded together.
+WORDS_KEPT, TOGETHER = 400_000, 4 << 20
+#: Where a lower-cased text is cut besides white space: before such a mark after a letter or digit.
+PUNCTUATION = r"([a-z0-9])([.,;:!?])"
 WORD_END = "</w>"
 #: Rows of a file that are read before they are handed on.
 ROWS = 4096
@@ -100,12 +103,11 @@ class WordIds(dict):
         for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = word.endswith(WORD_END)
 
-    def cut(self, text: bytes) -> list[bytes]:
-        return text.split() if b"<|" in text else PUNCTUATION.sub(rb" \1", text.lower()).split()
-
     def learn(self, words: set[bytes]) -> None:
         if len(self) > WORDS_KEPT:
+            known = {w: self[w] for w in words.intersection(self)}
             self.clear()
+            self.update(known)
         new, plain, other = words.difference(self), [], []
         for w in new:
             (plain if w.isalpha() or not w.isascii() and w.decode().isalpha() else other).append(w)
@@ -122,26 +124,42 @@ class WordIds(dict):
         for i in range(0, len(other), 256):
             part = other[i : i + 256]
             for w, e in zip(part, encode([w.decode() for w in part], add_special_tokens=False)):
-                self[w] = np.asarray(e.ids, np.uint32).tobytes()
-
-    def encode_all(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+                self[w] = array("I", e.ids).tobytes()
+
+    def encode_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a string array, a null being empty."""
+        texts = pc.fill_null(texts, "")
+        size = pc.binary_length(texts).to_numpy().astype(np.int64).cumsum()
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TOGETHER, "right")))
+            yield from self._ids(texts.slice(at, end - at))
+            at = end
+
+    def encode_all(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+        return self.encode_column(pa.array(list(texts), pa.binary()).cast(pa.string()))
+
+    def _ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
         if not self.by_word:
             for text in texts:
-                yield np.asarray(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
+                yield np.asarray(self.tokenizer.encode(text.as_py(), add_special_tokens=False).ids, np.uint32)
             return
-        waiting, size = [], 0
-        for text in texts:
-            waiting.append(self.cut(text))
-            size += len(text)
-            if size >= TOGETHER:
-                yield from self._ids(waiting)
-                waiting, size = [], 0
-        yield from self._ids(waiting)
-
-    def _ids(self, cut: list[list[bytes]]) -> list[bytes]:
-        self.learn({w for words in cut for w in words})
-        get = self.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), PUNCTUATION, r"\1 \2")
+        words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, plain))
+        coded = words.flatten().dictionary_encode()
+        known = coded.dictionary.cast(pa.binary()).to_pylist()
+        known[:] = [w or b"" for w in known]
+        self.learn(set(known) - {b""})
+        got = [self.get(w, b"") for w in known]
+        flat, n = np.frombuffer(b"".join(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)) // 4
+        which = coded.indices.to_numpy()
+        count = n[which]
+        before = np.concatenate([[0], np.cumsum(count)])
+        # word by word: its ids stand one after the other in ``flat``
+        ids = flat[np.arange(before[-1]) + np.repeat((np.cumsum(n) - n)[which] - before[:-1], count)]
+        cuts = before[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])].tolist()
+        for x, y in zip(cuts, cuts[1:]):
+            yield ids[x:y]
 
 
 def _write(folder: str, vocabulary: str, end_id: int):
@@ -157,15 +175,14 @@ def _write(folder: str, vocabulary: str, end_id: int):
         fs.create_dir(base, recursive=True)
         name = f"part-{task.partitionId():06d}"
         tries = [f"{base}/.{name}-{task.taskAttemptId()}{x}" for x in (".rec", ".idx")]
-        ids, end = WordIds(vocabulary), np.uint32(end_id).tobytes()
+        ids, end = per_worker(("words", vocabulary), lambda: WordIds(vocabulary)), np.uint32(end_id)
         width = np.uint16 if max(ids.size - 1, end_id) < 2**16 else np.uint32
         rows = tokens = offset = 0
         index: list[int] = []
         with fs.open_output_stream(tries[0]) as out:
             while first is not None:
-                texts = (t.as_py() or b"" for t in first["text"].cast(pa.binary()))
-                for doc, body in zip(first["doc_id"].to_pylist(), ids.encode_all(texts)):
-                    body = np.frombuffer(body + end, np.uint32).astype(width)
+                for doc, body in zip(first["doc_id"].to_pylist(), ids.encode_column(first["text"])):
+                    body = np.append(body, end).astype(width)
                     head = (NO_ID if doc is None else doc).to_bytes(8, "little", signed=True) + bytes([body.itemsize])
                     record = frame(head + body.tobytes())
                     out.write(record)
