@@ -58,6 +58,35 @@ def cutter() -> Callable[[str], list[str]]:
     return lambda text: plain(text) if text.isascii() or not other(text) else every(text)
 
 
+class PairTable:
+    """What is known of pairs of ids, looked up for many at once: hashed to one slot, or where that is taken to one of a further table."""
+
+    SLOTS = 18
+
+    def __init__(self, packed: dict[int, int]):
+        keys, values = (np.fromiter(x, np.int64, len(packed)) for x in (packed.keys(), packed.values()))
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(keys):
+            known, value = np.full(1 << self.SLOTS, -1, np.int64), np.full(1 << self.SLOTS, NEVER, np.int64)
+            slot = self._slot(keys, len(self.tables))
+            known[slot], value[slot] = keys, values
+            self.tables.append((known, value))
+            out = known[slot] != keys  # overwritten by another
+            keys, values = keys[out], values[out]
+
+    def _slot(self, keys: np.ndarray, table: int) -> np.ndarray:
+        odd = np.uint64(0x9E3779B97F4A7C15 + 2 * table * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
+        return (keys.view(np.uint64) * odd >> np.uint64(64 - self.SLOTS)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values of ``keys``, NEVER where there is none."""
+        out = np.full(len(keys), NEVER, np.int64)
+        for i, (known, value) in enumerate(self.tables):
+            slot = self._slot(keys, i)
+            np.copyto(out, value[slot], where=known[slot] == keys)
+        return out
+
+
 class Merges:
     """The vocabulary: ids of bytes, merges of pairs, bytes of ids, special strings."""
 
@@ -75,6 +104,7 @@ class Merges:
             self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         # the same as whole numbers: a << 20 | b to rank << 20 | id, so that a plain min() finds the next merge
         self.packed = {a << 20 | b: rank << 20 | i for (a, b), (rank, i) in self.pairs.items()}
+        self.pair_table = PairTable(self.packed)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         size = 1 + max([*vocab.values(), *self.special.values()])
         self.bytes_of = [b""] * size
@@ -113,6 +143,43 @@ class Merges:
                 found[at] = get(ids[at] << 20 | ids[at + 1], NEVER)
         return ids
 
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as uint32 bytes: in each round, every word that is not done merges one pair."""
+        out: list[bytes] = [b""] * len(words)
+        short = [i for i, w in enumerate(words) if 1 < len(w) <= 64]
+        for i, w in enumerate(words):
+            if not 1 < len(w) <= 64:
+                out[i] = array("I", self.merge(w)).tobytes()
+        if not short:
+            return out
+        number = np.array(short)
+        size = np.array([len(words[i]) for i in short])
+        ids = np.array(self.byte_ids)[np.frombuffer(b"".join([words[i] for i in short]), np.uint8)]
+        while len(number):
+            start = np.cumsum(size) - size
+            last = start + size - 1
+            found = np.empty(len(ids), np.int64)
+            found[:-1] = self.pair_table.find(ids[:-1] << 20 | ids[1:])
+            found[last] = NEVER  # a word's last id has no right neighbour
+            best = np.minimum.reduceat(found, start)
+            done = best == NEVER
+            if done.any():
+                flat, of = ids.astype(np.uint32).tobytes(), np.nonzero(done)[0]
+                for i, x, n in zip(number[of].tolist(), start[of].tolist(), size[of].tolist()):
+                    out[i] = flat[4 * x : 4 * (x + n)]
+                keep = np.repeat(~done, size)
+                ids, found = ids[keep], found[keep]
+                number, size, best = number[~done], size[~done], best[~done]
+                if not len(number):
+                    break
+            word = np.repeat(np.arange(len(number)), size)
+            at = np.nonzero(found == best[word])[0]
+            at = at[np.concatenate([[True], word[at[1:]] != word[at[:-1]]])]  # the leftmost of each word
+            ids[at] = best & 0xFFFFF
+            ids = np.delete(ids, at + 1)
+            size = size - 1
+        return out
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap over a linked list, in n log n."""
         n, get = len(ids), self.pairs.get
@@ -238,8 +305,8 @@ class Lexicon:
             depth += 1
         return out
 
-    def ids_at(self, place: int) -> list[int]:
-        return self.ids[self.offset[place] : self.offset[place + 1]].tolist()
+    def ids_at(self, place: int) -> bytes:
+        return self.ids[self.offset[place] : self.offset[place + 1]].astype(np.uint32).tobytes()
 
 
 class Encoder(dict):
@@ -261,9 +328,10 @@ class Encoder(dict):
         new = list(words.difference(self))
         raw = [w.encode() for w in new]
         places = self.lexicon.find(raw).tolist() if self.lexicon else [-1] * len(new)
-        merge, ids_at = self.merges.merge, self.lexicon.ids_at if self.lexicon else None
-        for word, b, place in zip(new, raw, places):
-            self[word] = array("I", merge(b) if place < 0 else ids_at(place)).tobytes()
+        rare = [i for i, place in enumerate(places) if place < 0]
+        self.update(zip([new[i] for i in rare], self.merges.merge_all([raw[i] for i in rare])))
+        if self.lexicon:
+            self.update((word, self.lexicon.ids_at(place)) for word, place in zip(new, places) if place >= 0)
 
     def cut(self, text: str) -> list[list[str] | bytes]:
         """The words of a text, in lists between the ids of special strings."""

@@ -51,11 +51,17 @@ def test_automaton_is_minimal_and_a_perfect_hash():
     assert len(lexicon["final"]) < 16  # prefixes and suffixes are shared
     loaded = bpe.Lexicon.__new__(bpe.Lexicon)
     loaded.__dict__.update(lexicon)
-    assert loaded.find(words).tolist() == list(range(len(words))) and loaded.ids_at(3) == [3, 4]
+    assert loaded.find(words).tolist() == list(range(len(words))) and np.frombuffer(loaded.ids_at(3), np.uint32).tolist() == [3, 4]
     assert loaded.find([b"", b"re", b"dox", b"undoingx"]).tolist() == [-1] * 4
     assert bpe.compile_lexicon([], [])["key"].size == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.binary(max_size=80), st.text(st.sampled_from("aeinrst the"), max_size=70).map(str.encode)), max_size=30))
+def test_words_merged_together_and_alone(encoder, words):
+    assert encoder.merges.merge_all(words) == [np.array(encoder.merges.merge(w), np.uint32).tobytes() for w in words]
+
+
 @settings(max_examples=500, deadline=None)
 @given(st.one_of(ANY_TEXT, st.text(st.sampled_from(list("aZ'strev0 9_-\t\n\x0b\x1c\x85\xa0éßñ漢²½\u2028’")), max_size=30)))
 def test_words_are_cut_alike(text):
