@@ -1,7 +1,7 @@
 """python -m tessera COMMAND DEFINITION: runs definition files.
 
 generate-dataset, generate-measures, create-dummy-tables, explain, serialize-definition, assure,
-graph-query, test-connection, dump-example-data, isolation-report.
+graph-query, test-connection, dump-example-data, isolation-report, debug.
 A definition runs in a process of its own that gives back its graph, unless --in-process says otherwise.
 Without --tables, datasets and measures are made from dummy tables, for which the permissions
 count that a definition claims; with --tables only those that the environment
@@ -45,7 +45,7 @@ def arguments(argv: list[str]) -> tuple[argparse.Namespace, dict[str, str]]:
         raise SystemExit("parameters are given as -- --name value ...")
     parser = argparse.ArgumentParser(prog="tessera", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("generate-dataset", "generate-measures", "create-dummy-tables", "explain", "serialize-definition", "assure", "graph-query", "test-connection", "dump-example-data", "isolation-report"):
+    for name in ("generate-dataset", "generate-measures", "create-dummy-tables", "explain", "serialize-definition", "assure", "graph-query", "test-connection", "dump-example-data", "isolation-report", "debug"):
         c = commands.add_parser(name)
         if name not in ("test-connection", "dump-example-data", "isolation-report"):
             c.add_argument("definition")
@@ -80,6 +80,16 @@ def run(argv: list[str]) -> None:
 
         write_example(args.output or "example-data/:csv")
         return
+    if args.command == "debug":
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.appName("tessera").getOrCreate()
+        session.use(session.Engine(spark, Catalog(spark, args.tables)))
+        try:
+            runpy.run_path(args.definition)  # what it shows is printed as it runs
+        finally:
+            session.use(None)
+        return
     of_measures = args.measures or args.command == "generate-measures"
     what = ("measures", Measures) if of_measures else ("dataset", Dataset)
     if args.in_process or args.command == "assure":  # the expectations of an assurance test are objects of the definition

@@ -65,6 +65,43 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["generate-dataset", str(tmp_path / "none.py")]) == cli.DEFINITION
     with pytest.raises(SystemExit):
         cli.main(["unknown"])
+    (tmp_path / "shown.py").write_text(DEFINITION + "from tessera import show\nshow(people.sex, head=1)\n")
+    assert cli.main(["debug", str(tmp_path / "shown.py"), "--tables", str(tmp_path)]) == 0
+    assert capsys.readouterr().out.splitlines() == ["patient_id | value", "---------- | -----", "1          | M", "…          | …"]
+    assert cli.main(["isolation-report"]) == 0 and "memory: limited" in capsys.readouterr().out
+    assert cli.main(["test-connection", "--tables", str(tmp_path)]) == 0 and "1 tables found" in capsys.readouterr().out
+    assert cli.main(["dump-example-data", "--output", str(tmp_path / "example" / ":csv")]) == 0
+    assert cli.main(["test-connection", "--tables", str(tmp_path / "example")]) == 0 and "5 tables found" in capsys.readouterr().out
+
+
+def test_definitions_are_confined(tmp_path, monkeypatch):
+    from tessera.language import Error
+    from tessera.loading import load_isolated
+
+    monkeypatch.setenv("SECRET", "x")
+    (tmp_path / "env.py").write_text(DEFINITION + "import os\nassert 'SECRET' not in os.environ\n")
+    dataset, claimed, held = load_isolated(str(tmp_path / "env.py"), "dataset", {"sex": "F"})
+    assert dataset._variables["sex"].name == "sex" and claimed == set() and {"memory", "cpu", "file size"} <= set(held)
+    for text, said in (("x = bytearray(8 << 30)", "MemoryError"), ("raise ValueError('no')", "no"), ("", "does not define")):
+        (tmp_path / "bad.py").write_text(text)
+        with pytest.raises(Error, match=said):
+            load_isolated(str(tmp_path / "bad.py"), "dataset")
+    if "network" in held:
+        (tmp_path / "net.py").write_text("import socket\nsocket.create_connection(('127.0.0.1', 22), 1)")
+        with pytest.raises(Error):
+            load_isolated(str(tmp_path / "net.py"), "dataset")
+
+
+def test_measures_come_back_from_their_process(spark, tmp_path):
+    from tessera.loading import pack, unpack
+
+    from tessera import INTERVAL, create_measures, months
+
+    m = create_measures()
+    m.define_measure("seen", numerator=e.where(e.d1.is_during(INTERVAL)).count_for_patient(), denominator=p.exists_for_patient(), group_by={"s": p.s1}, intervals=months(2).starting_on("2020-01-01"))
+    m.configure_dummy_data(population_size=3, additional_population_constraint=p.i1 > 1)
+    back = unpack(pack(m))
+    assert list(back) == list(m) and back.disclosure_control and back.dummy_data_config.additional_population_constraint._node == (p.i1 > 1)._node
 
 
 def test_dummy_tables(spark):
