@@ -4,8 +4,8 @@ Normalised vectors of cosine 0.9 lie 0.447 apart. A hash floor((a.v + b) / WIDTH
 Gaussian ``a`` is equal for both with probability 0.90, and for unrelated vectors, 1.41 apart, with
 0.69. Several hashes make a table's key; there are so many tables that such a pair
 misses all of them with probability MISS at most, closer pairs far less often. The number
-of hashes grows with the logarithm of the number of vectors, so that a vector meets
-about MEETINGS unrelated ones at most, however many there are.
+of hashes grows with the logarithm of the number of vectors, so that a bucket holds
+STRANGERS unrelated vectors at most, about, however many there are.
 
 Equal vectors are one class with a weight. In the buckets, classes are compared by their
 components in 8 bits; the bound on what that can change decides, so no pair that shares a
@@ -31,7 +31,7 @@ from .graph import components, union_find
 
 WIDTH, LEAST_HASHES = 3.58, 8
 COSINE = 0.9
-MISS, MEETINGS = 0.006, 100_000
+MISS, STRANGERS = 0.006, 1000
 #: Most classes of a block, and bytes of its vectors; a bucket or cluster of up to two blocks is one tile.
 BLOCK, BLOCK_BYTES = 1024, 8 << 20
 #: Links of a tile above which they are spanned as a matrix and not one by one.
@@ -48,11 +48,9 @@ def shape(vectors: int, cosine: float = COSINE) -> tuple[int, int]:
     """(tables, hashes of each) for so many vectors."""
     near, far = chance(math.sqrt(max(1e-9, 2 - 2 * cosine))), chance(math.sqrt(2))
     hashes = LEAST_HASHES
-    while True:
-        tables = math.ceil(math.log(MISS) / math.log1p(-(near**hashes)))
-        if tables * vectors * far**hashes <= MEETINGS:
-            return tables, hashes
+    while vectors * far**hashes > STRANGERS:
         hashes += 1
+    return math.ceil(math.log(MISS) / math.log1p(-(near**hashes))), hashes
 
 
 def projections(dim: int, tables: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:

@@ -264,7 +264,7 @@ def test_recall_at_the_threshold():
         found = (vectors.table_keys(a, tables, hashes, made) == vectors.table_keys(0.9 * a + math.sqrt(1 - 0.81) * b, tables, hashes, made)).any(1)
         assert found.mean() > 0.98
         strangers = (vectors.table_keys(a, tables, hashes, made) == vectors.table_keys(b, tables, hashes, made)).sum()
-        assert strangers / 400 * n < 3 * vectors.MEETINGS
+        assert strangers / 400 * n < 3 * vectors.STRANGERS * tables
 
 
 def test_joins_of_hot_keys(spark):
