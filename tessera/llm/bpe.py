@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, filesystem, per_worker, scratch_path, spread, table, written
+from .common import drop, filesystem, per_worker, scratch_path, spread, table, tidy, written
 
 #: The byte-level pattern that cuts a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -31,8 +31,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PLAIN = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z\u0080-\U0010ffff]+| ?[0-9]+| ?[^\sA-Za-z0-9\u0080-\U0010ffff]+|\s+(?!\S)|\s+"
 #: Frequent words that the lexicon holds, and most bytes of one; results do not depend on either.
 LEXICON, WORD_BYTES = 32_768, 64
-#: Distinct words that a worker counts, or keeps ids of, before it starts anew.
-COUNTED, KEPT = 500_000, 300_000
+#: Distinct words that a task counts, or keeps ids of, before it starts anew.
+COUNTED, KEPT = 300_000, 200_000
 #: Characters of text that are cut into words before their new words are looked up together, and bytes of text encoded before they are handed on.
 TOGETHER, HANDED = 1 << 20, 4 << 20
 #: Above every packed rank.
@@ -98,12 +98,11 @@ class Merges:
         back = {c: b for b, c in enumerate(letters)}
         vocab = spec["model"]["vocab"]
         self.byte_ids = [vocab[c] for c in letters]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        # a << 20 | b to rank << 20 | id, so that a plain min() finds the next merge
+        self.packed: dict[int, int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        # the same as whole numbers: a << 20 | b to rank << 20 | id, so that a plain min() finds the next merge
-        self.packed = {a << 20 | b: rank << 20 | i for (a, b), (rank, i) in self.pairs.items()}
+            self.packed.setdefault(vocab[a] << 20 | vocab[b], rank << 20 | vocab[a + b])
         self.pair_table = PairTable(self.packed)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         size = 1 + max([*vocab.values(), *self.special.values()])
@@ -182,9 +181,9 @@ class Merges:
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap over a linked list, in n log n."""
-        n, get = len(ids), self.pairs.get
+        n, get = len(ids), self.packed.get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(f[0], i, ids[i], ids[i + 1], f[1]) for i in range(n - 1) if (f := get((ids[i], ids[i + 1])))]
+        heap = [(f >> 20, i, ids[i], ids[i + 1], f & 0xFFFFF) for i in range(n - 1) if (f := get(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             _, i, a, b, new = heapq.heappop(heap)
@@ -196,8 +195,8 @@ class Merges:
             if k >= 0:
                 before[k] = i
             for x, y in ((before[i], i), (i, k)):
-                if x >= 0 and y >= 0 and (f := get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (f[0], x, ids[x], ids[y], f[1]))
+                if x >= 0 and y >= 0 and (f := get(ids[x] << 20 | ids[y])) is not None:
+                    heapq.heappush(heap, (f >> 20, x, ids[x], ids[y], f & 0xFFFFF))
         return [i for i in ids if i >= 0]
 
 
@@ -312,10 +311,10 @@ class Lexicon:
 class Encoder(dict):
     """Ids of whole texts as uint32 bytes; words met are kept, up to a bound, then only the last ones."""
 
-    def __init__(self, vocabulary: str, lexicon: str | None = None):
+    def __init__(self, merges: Merges, lexicon: str | None = None):
         import regex
 
-        self.merges = Merges(vocabulary)
+        self.merges = merges
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.words = cutter()
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.merges.special, key=len, reverse=True))) + ")").split if self.merges.special else None
@@ -376,6 +375,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield rows()
                 counts.clear()
     yield rows()
+    counts.clear()
+    tidy()
 
 
 def frequent_words(docs: DataFrame, n: int = LEXICON) -> list[bytes]:
@@ -416,7 +417,7 @@ def encoded(docs: DataFrame, vocabulary: str, lexicon: str | None = None, keep:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker(("bytes", vocabulary, lexicon), lambda: Encoder(vocabulary, lexicon))
+        encoder = Encoder(per_worker(("merges", vocabulary), lambda: Merges(vocabulary)), lexicon)
         for batch in batches:
             texts, at = batch["text"], 0
             size = pc.fill_null(pc.binary_length(texts), 0).to_numpy().cumsum()
@@ -428,6 +429,8 @@ def encoded(docs: DataFrame, vocabulary: str, lexicon: str | None = None, keep:
                     columns.append(pa.array(map(encoder.decode, ids), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "decoded"][: len(columns)])
                 at = end
+        del encoder
+        tidy()
 
     rows = docs.select(*keep, "text")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]] + ["ids binary"] + ["decoded string"] * decode

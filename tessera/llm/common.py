@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -10,6 +13,7 @@ from collections.abc import Callable
 from types import ModuleType
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +102,14 @@ def per_worker(key: tuple, make: Callable):
     return kept[key]
 
 
+def tidy() -> None:
+    """Gives memory that is free in this Python worker back, so that the next task's stage has it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def filesystem(path: str):
     """(pyarrow file system, path in it) of a path in the shared folder, on driver or executor."""
     from pyarrow import fs

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, join_heavy, lookup, spread, table, written
+from .common import drop, join_heavy, lookup, spread, table, tidy, written
 from .graph import components, union_find
 
 PERMUTATIONS, BANDS, ROWS = 100, 40, 5
@@ -41,8 +41,8 @@ CROWD = 1024
 TILE, MOST_TILE, BLOCKS = 128, 2048, 24
 #: Shingles of a block of full sets, about (8 bytes each): blocks are made smaller where documents are long.
 TILE_SHINGLES = 2_000_000
-#: Hash words kept by a worker before it starts anew (about 60 bytes each).
-WORDS_KEPT = 500_000
+#: Hashes of words kept by a task before it starts anew (some 150 bytes each).
+WORDS_KEPT = 300_000
 
 U64 = np.uint64
 _M1, _M2, _M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -118,6 +118,8 @@ def _sign(width: int):
                 [batch["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "digest", "sig", "keys"],
             )
+        words.clear()
+        tidy()
 
     return run
 

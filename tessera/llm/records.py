@@ -26,12 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, per_worker, scratch_path, table
+from .common import filesystem, per_worker, scratch_path, table, tidy
 
 MASK_DELTA = 0xA282EAD8
 NO_ID = -(2**63)
-#: Distinct words whose ids a worker keeps before it forgets all but the last ones, and bytes of text encoded together.
-WORDS_KEPT, TOGETHER = 400_000, 4 << 20
+#: Distinct words whose ids a task keeps before it forgets all but the last ones, and bytes of text encoded together.
+WORDS_KEPT, TOGETHER = 250_000, 4 << 20
 #: Where a lower-cased text is cut besides white space: before such a mark after a letter or digit.
 PUNCTUATION = r"([a-z0-9])([.,;:!?])"
 WORD_END = "</w>"
@@ -74,17 +74,8 @@ def unframe(data, at: int = 0) -> tuple[bytes, int]:
     return payload, end + 4
 
 
-class WordIds(dict):
-    """Ids by the tokenizers library, as little-endian uint32 bytes; every distinct word is encoded once.
-
-    The library's normalizer lower-cases characters and composes none across white space, its
-    splitter cuts between letters or digits and such punctuation as PUNCTUATION and
-    drops white space, and it holds no special string with white space. So the ids of
-    a text are those of its pieces, cut at ASCII white space and before PUNCTUATION after
-    an ASCII letter or digit, with A-Z lower-cased; texts in which a special string
-    could stand are only cut at white space. A vocabulary of another form than BY_WORD, or with a
-    special string that holds white space or does not begin with ``<|``, encodes whole texts.
-    """
+class Vocabulary:
+    """The library's tokenizer of a file, whether words can be encoded one by one, and which ids end a word."""
 
     def __init__(self, vocabulary: str):
         import os
@@ -103,6 +94,22 @@ class WordIds(dict):
         for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = word.endswith(WORD_END)
 
+
+class WordIds(dict):
+    """Ids by the tokenizers library, as little-endian uint32 bytes; every distinct word is encoded once.
+
+    The library's normalizer lower-cases characters and composes none across white space, its
+    splitter cuts between letters or digits and such punctuation as PUNCTUATION and
+    drops white space, and it holds no special string with white space. So the ids of
+    a text are those of its pieces, cut at ASCII white space and before PUNCTUATION after
+    an ASCII letter or digit, with A-Z lower-cased; texts in which a special string
+    could stand are only cut at white space. A vocabulary of another form than BY_WORD, or with a
+    special string that holds white space or does not begin with ``<|``, encodes whole texts.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.tokenizer, self.size, self.by_word, self.ends = vocabulary.tokenizer, vocabulary.size, vocabulary.by_word, vocabulary.ends
+
     def learn(self, words: set[bytes]) -> None:
         if len(self) > WORDS_KEPT:
             known = {w: self[w] for w in words.intersection(self)}
@@ -175,7 +182,7 @@ def _write(folder: str, vocabulary: str, end_id: int):
         fs.create_dir(base, recursive=True)
         name = f"part-{task.partitionId():06d}"
         tries = [f"{base}/.{name}-{task.taskAttemptId()}{x}" for x in (".rec", ".idx")]
-        ids, end = per_worker(("words", vocabulary), lambda: WordIds(vocabulary)), np.uint32(end_id)
+        ids, end = WordIds(per_worker(("tokenizer", vocabulary), lambda: Vocabulary(vocabulary))), np.uint32(end_id)
         width = np.uint16 if max(ids.size - 1, end_id) < 2**16 else np.uint32
         rows = tokens = offset = 0
         index: list[int] = []
@@ -193,6 +200,8 @@ def _write(folder: str, vocabulary: str, end_id: int):
             out.write(np.asarray(index, np.uint64).tobytes())
         for x, kind in zip(tries, (".rec", ".idx")):
             fs.move(x, f"{base}/{name}{kind}")
+        del ids
+        tidy()
         yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [f"{folder}/{name}"], "docs": [rows], "tokens": [tokens]})
 
     return run

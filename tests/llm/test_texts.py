@@ -33,7 +33,7 @@ def encoder(tmp_path_factory):
     words = sorted({w.encode() for w in [" the", "the", "ing", " of", " other", " others", "é", " th", " then", "s"]})
     path = str(tmp_path_factory.mktemp("lexicon") / "words.bin")
     bpe.save_lexicon(bpe.compile_lexicon(words, [merges.merge(w) for w in words]), path)
-    return bpe.Encoder(BYTE, path)
+    return bpe.Encoder(merges, path)
 
 
 @settings(max_examples=300, deadline=None)
@@ -91,7 +91,7 @@ _kept = []
 
 def _words():
     if not _kept:
-        _kept.append(records.WordIds(WORD))
+        _kept.append(records.WordIds(records.Vocabulary(WORD)))
     return _kept[0]
 
 
@@ -123,7 +123,7 @@ def test_records_are_fetched_in_any_order(spark):
 
 
 def test_vocabularies_of_another_form(byte_library):
-    other = records.WordIds(BYTE)
+    other = records.WordIds(records.Vocabulary(BYTE))
     assert not other.by_word and _words().by_word
     texts = ["It's 12 o'clock,  <|endoftext|> ÀÉ", "", " a"]
     got = [x.tolist() for x in other.encode_all(t.encode() for t in texts)]
