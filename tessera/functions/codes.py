@@ -75,6 +75,27 @@ class OPCS4MultiCodeString(MultiCodeString):
     code, prefix = OPCS4Code, r"[A-HJ-Z]\d{0,3}"
 
 
+def any_of_pattern(parts: list[str]) -> str:
+    """A regular expression for text that holds any of the parts: a tree of their beginnings, so that long lists are searched letter by letter."""
+    tree: dict = {}
+    for part in sorted(parts):  # a beginning comes before what it begins
+        node = tree
+        for c in part:
+            if None in node:
+                break  # what goes on from a whole part adds nothing
+            node = node.setdefault(c, {})
+        else:
+            node[None] = True
+
+    def pattern(node: dict) -> str:
+        if None in node:
+            return ""
+        branches = [re.escape(c) + pattern(below) for c, below in node.items()]
+        return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+
+    return pattern(tree)
+
+
 def codelist_from_csv(filename, *, column: str, category_column: str | None = None) -> list[str] | dict[str, str]:
     """The codes of a CSV file's column, or a dict from codes to categories; blanks go, white space around codes too."""
     path = Path(filename)

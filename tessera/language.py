@@ -9,7 +9,7 @@ import datetime
 import re
 from pathlib import Path
 
-from .functions.codes import Code, MultiCodeString
+from .functions.codes import Code, MultiCodeString, any_of_pattern
 from .functions.durations import Duration, days, months, weeks, years
 from .plans import nodes as n
 from .plans.nulls import validate_population
@@ -340,6 +340,10 @@ class Coded:
         return self.map_values(categorisation, default)
 
 
+#: Longer lists are searched by one pattern.
+FEW_PARTS = 8
+
+
 class MultiCoded:
     """Only searches make sense of several codes in one string."""
 
@@ -357,6 +361,8 @@ class MultiCoded:
         parts = sorted({self._node.type.part(c) for c in codelist})
         if not parts:
             return wrap(n.InSet(call("contains", self, "")._node, frozenset()))
+        if len(parts) > FEW_PARTS:
+            return call("contains_any", self, any_of_pattern(parts))
         found = self.contains(parts[0])
         for p in parts[1:]:
             found = found | self.contains(p)

@@ -102,7 +102,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "diff_days": lambda a, b: F.datediff(b, a).cast("bigint"), "diff_months": _months, "diff_years": _years,
     "year": lambda d: F.year(d).cast("bigint"), "month": lambda d: F.month(d).cast("bigint"), "day": lambda d: F.day(d).cast("bigint"),
     "first_of_year": lambda d: F.trunc(d, "YEAR"), "first_of_month": lambda d: F.trunc(d, "MM"),
-    "contains": F.contains, "greatest": _skipping(F.greatest), "least": _skipping(F.least),
+    "contains": F.contains, "contains_any": F.rlike, "greatest": _skipping(F.greatest), "least": _skipping(F.least),
 }
 
 

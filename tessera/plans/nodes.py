@@ -477,6 +477,6 @@ SIGNATURES = {
     **{f: (_types(_D, _D), _is(int)) for f in ("diff_days", "diff_months", "diff_years")},
     **{f: (_types(_D), _is(int)) for f in ("year", "month", "day")},
     **{f: (_types(_D), _is(_D)) for f in ("first_of_year", "first_of_month")},
-    "contains": (_types((str, MultiCodeString), str), _is(bool)),
+    **{f: (_types((str, MultiCodeString), str), _is(bool)) for f in ("contains", "contains_any")},
     **{f: (_alike(0, int, float, str, _D, bool), _same) for f in ("greatest", "least")},
 }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import datetime
 import io
+import shutil
 import tempfile
 from collections.abc import Callable
 from pathlib import Path
@@ -24,11 +26,13 @@ from .sources.files import FileValidationError, read_rows, read_table, write_con
 
 
 def folder(spark: SparkSession) -> Path:
-    """A new folder for files that the driver writes, seen by all executors."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return Path(tempfile.mkdtemp(prefix="tessera-", dir=urlparse(shared).path or None))
+    """A new folder for files that the driver writes and all executors see, removed when the driver ends."""
+    shared = urlparse(spark.sparkContext.getConf().get("spark.checkpoint.dir") or "")
+    if shared.scheme not in ("", "file") or not shared.path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("these queries need a mounted folder that the driver and all executors share in spark.checkpoint.dir")
+    made = Path(tempfile.mkdtemp(prefix="tessera-", dir=shared.path or None))
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
 
 
 # ---------------------------------------------------------------- values beyond their type
@@ -196,13 +200,14 @@ def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     dataset = create_dataset()
     dataset.define_population(everyone)
     dataset.one, dataset.beginning = admissions.codes.contains("A01"), admissions.codes.contains("B1")
+    dataset.long = admissions.codes.contains_any_of([f"{c}{i:02}" for c in "ABC" for i in range(1, 100, 3)] + ["A0", "B110"])
     dataset.some, dataset.none = admissions.codes.contains_any_of(["A02", "B110"]), admissions.codes.contains_any_of([])
     return own.dataset(dataset)
 
 
 custom(
     "multi_code_contains", _codes,
-    """SELECT patient_id, contains(codes, 'A01') AS one, contains(codes, 'B1') AS beginning, contains(codes, 'A02') OR contains(codes, 'B110') AS some, false AS none
+    """SELECT patient_id, contains(codes, 'A01') AS one, contains(codes, 'B1') AS beginning, contains(codes, 'A02') OR contains(codes, 'B110') AS some, false AS none, regexp_matches(codes, 'A0|B110|[ABC](01|04|07|10|13|16|19)') AS long
     FROM (SELECT patient_id, CASE WHEN nation < 20 THEN '||A0' || (nation % 4) || ' ,B1' || (nation % 3) || '0||' END AS codes FROM {c})""",
 )
 

@@ -1,8 +1,11 @@
 """What definitions are refused, and why; domains and types; populations; permissions; datasets."""
 
 import datetime
+import re
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from tessera import INTERVAL, Error, case, create_dataset, create_measures, days, maximum_of, months, table_from_rows, weeks, when, years
 from tessera import permissions
@@ -174,6 +177,13 @@ def test_codelists(tmp_path):
         codelist_from_csv(tmp_path / "none.csv", column="code")
 
 
+@given(st.sets(st.text("AB01.", min_size=1, max_size=4), min_size=1, max_size=12), st.text("AB01. ", max_size=12))
+def test_patterns_of_many_parts(parts, text):
+    from tessera.functions.codes import any_of_pattern
+
+    assert (re.search(any_of_pattern(list(parts)), text) is not None) == any(x in text for x in parts)
+
+
 def test_what_is_known_of_outputs():
     from tessera.plans.specs import ColumnSpec, output_options, spec_of
     from tessera.tables.core import clinical_events, patients

@@ -65,6 +65,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["generate-dataset", str(tmp_path / "none.py")]) == cli.DEFINITION
     with pytest.raises(SystemExit):
         cli.main(["unknown"])
+    capsys.readouterr()
     (tmp_path / "shown.py").write_text(DEFINITION + "from tessera import show\nshow(people.sex, head=1)\n")
     assert cli.main(["debug", str(tmp_path / "shown.py"), "--tables", str(tmp_path)]) == 0
     assert capsys.readouterr().out.splitlines() == ["patient_id | value", "---------- | -----", "1          | M", "…          | …"]
