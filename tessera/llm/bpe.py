@@ -32,7 +32,7 @@ PLAIN = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z\u0080-\U0010ffff]+| ?[0-9]+| ?[^\sA-Za-
 #: Frequent words that the lexicon holds, and most bytes of one; results do not depend on either.
 LEXICON, WORD_BYTES = 32_768, 64
 #: Distinct words that a task counts, or keeps ids of, before it starts anew.
-COUNTED, KEPT = 300_000, 200_000
+COUNTED, KEPT = 150_000, 100_000
 #: Characters of text that are cut into words before their new words are looked up together, and bytes of text encoded before they are handed on.
 TOGETHER, HANDED = 1 << 20, 4 << 20
 #: Above every packed rank.

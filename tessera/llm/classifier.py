@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread, table
+from .common import forget, spread, table
 
 #: Texts sampled for training, about, half of each posterior class where there are enough; fewer where their features would take more than SAMPLE_BYTES on the driver.
 SAMPLE, SAMPLE_BYTES = 4000, 200 << 20
@@ -74,6 +74,7 @@ def votes(s: tuple[float, ...]) -> tuple[int, ...]:
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         out = ["".join("01-"[v] for v in votes(statistics(t.as_py() or b""))) for t in batch["text"].cast(pa.binary())]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["votes"])

@@ -102,6 +102,13 @@ def per_worker(key: tuple, make: Callable):
     return kept[key]
 
 
+def forget() -> None:
+    """Drops what per_worker() keeps: for tasks of other operators, which have no use for it."""
+    if "_tessera_worker" in sys.modules:
+        sys.modules["_tessera_worker"].__dict__.clear()
+        tidy()
+
+
 def tidy() -> None:
     """Gives memory that is free in this Python worker back, so that the next task's stage has it."""
     gc.collect()

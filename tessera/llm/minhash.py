@@ -13,8 +13,9 @@ other in tiles of bounded size (a member left out, CLOSE to the leader, and one
 leader rejects agree in under 0.65 of the values, by the triangle inequality; a pair at
 0.8 does so with probability about 3e-7). What hangs together by links then is a cluster; in
 each cluster all pairs are held against each other on their full sets, in tiles too, each
-tile returning a spanning forest of its links. No step emits all pairs of a group, and
-no group meets in one task.
+tile returning a spanning forest of its links. In clusters of more than one tile all are held
+against the smallest document first, and only those that are not near it against all
+others. No step emits all pairs of a group, and no group meets in one task.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, join_heavy, lookup, spread, table, tidy, written
+from .common import drop, forget, join_heavy, lookup, spread, table, tidy, written
 from .graph import components, union_find
 
 PERMUTATIONS, BANDS, ROWS = 100, 40, 5
@@ -96,6 +97,7 @@ def signature(x: np.ndarray, a: np.ndarray, step: int = 8192) -> np.ndarray:
 
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         words, a = WordHashes(), multipliers()
         salt = _mixed(np.arange(1, BANDS + 1, dtype=U64) * _M1)
         for batch in batches:
@@ -178,7 +180,8 @@ def _sets(width: int):
         for batch in batches:
             texts = batch["text"].cast(pa.binary())
             sets = [shingle_set(t.as_py(), width, words).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["component"], batch["blocks"], pa.array(sets, pa.binary())], names=["rep", "component", "blocks", "shingles"])
+            out = pa.RecordBatch.from_arrays([batch["doc_id"], batch["component"], batch["blocks"], pa.array(sets, pa.binary())], names=["rep", "component", "blocks", "shingles"])
+            yield out.filter(pa.array([len(x) > 0 for x in sets], pa.bool_()))  # a further text of a document may be empty
 
     return run
 
@@ -232,6 +235,60 @@ def _verify(percent: int):
     return run
 
 
+def _star(percent: int):
+    """Of each document of a block: whether a text of it is near the cluster's smallest document, and whether one isn't."""
+
+    def run(pdf):
+        import pandas as pd
+
+        rep = pdf["rep"].to_numpy()
+        head = rep == pdf["component"].iloc[0]
+        whole = [np.frombuffer(s, U64) for s in pdf["shingles"]]
+        centres = [whole[i] for i in np.nonzero(head)[0]]
+
+        def near(x: np.ndarray) -> bool:
+            for c in centres:
+                if 100 * min(len(x), len(c)) >= percent * max(len(x), len(c)):
+                    both = len(np.intersect1d(x, c, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(c) - both):
+                        return True
+            return False
+
+        at = np.nonzero(~head)[0]
+        if not len(at):
+            return pd.DataFrame({"rep": [], "component": [], "linked": [], "rest": []}).astype({"rep": "int64", "component": "int64", "linked": bool, "rest": bool})
+        out = pd.DataFrame({"rep": rep[at], "near": [near(whole[i]) for i in at]}).groupby("rep")["near"].agg(["any", "all"]).reset_index()
+        return pd.DataFrame({"rep": out["rep"].astype("int64"), "component": pdf["component"].iloc[0], "linked": out["any"].astype(bool), "rest": ~out["all"].astype(bool)})
+
+    return run
+
+
+def _large(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that span those of large clusters, from (rep, component, blocks, shingles).
+
+    All members are held against the cluster's smallest document first. Those near to it hang
+    together already; only the rest are held against all members, so a group of near
+    copies is not compared, nor its sets moved, with the square of its size.
+    """
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = members.select("rep", "component", "shingles", F.explode(F.when(F.col("rep") == F.col("component"), everywhere).otherwise(F.array(own))).alias("i"))
+    starred = written(dealt.groupBy("component", "i").applyInPandas(_star(percent), "rep long, component long, linked boolean, rest boolean"), "starred")
+    rest = written(starred.where("rest").select("rep", "component", F.lit(1).alias("n"), F.lit(True).alias("rest")), "rest")
+    sizes = starred.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.col("rest").cast("int")).alias("far")).where("far > 0")
+    grid = written(sizes.select("component", "n", F.ceil(F.col("far") / MOST_TILE).cast("int").alias("parts")), "grid")
+    total = starred.count()
+    known = lookup(members, rest.drop("component"), "rep", F.col("rep"), total)
+    known = join_heavy(known, grid, "component", F.col("rep"), total).where("parts is not null")
+    part = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")
+    tile = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    to_all = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: tile(i, own))
+    from_rest = F.when(F.col("rest"), F.transform(everywhere, lambda j: tile(part, j))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    tiles = known.select("component", "rep", "shingles", F.explode(F.concat(to_all, from_rest)).alias("tile")).select("component", "tile.i", "tile.j", "rep", "shingles")
+    found = tiles.groupBy("component", "i", "j").applyInPandas(_verify(percent), "a long, b long")
+    return starred.where("linked").select(F.col("rep").alias("a"), F.col("component").alias("b")).union(found)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text, ...).
 
@@ -285,12 +342,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     plan = written(sizes.select("component", "n", F.when(few, 1).otherwise(F.least(F.col("n"), parts)).cast("int").alias("blocks")), "plan")
     placed = join_heavy(clusters, plan, "component", F.col("node"), clusters.count())
     placed = written(placed.select(F.col("node").alias("doc_id"), "component", "blocks", F.lit(1).alias("n")), "placed")
-    full = lookup(docs, placed, "doc_id", F.xxhash64("text"), total).where("component is not null")
-    full = full.mapInArrow(_sets(width), "rep long, component long, blocks int, shingles binary")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    tiles = full.select("rep", "component", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiles = tiles.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "shingles")
-    links = tiles.groupBy("component", "i", "j").applyInPandas(_verify(percent), "a long, b long")
+
+    def sets(which: str) -> DataFrame:
+        full = lookup(docs, placed.where(which), "doc_id", F.xxhash64("text"), total).where("component is not null")
+        return full.mapInArrow(_sets(width), "rep long, component long, blocks int, shingles binary")
+
+    links = sets("blocks = 1").select("component", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep", "shingles").groupBy("component", "i", "j").applyInPandas(_verify(percent), "a long, b long")
+    if not plan.where("blocks > 1").isEmpty():
+        links = links.union(_large(written(sets("blocks > 1"), "large"), percent))
     found = components(links, "a", "b")
     named = written(
         classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component")),

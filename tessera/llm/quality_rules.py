@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import spread, table
+from .common import forget, spread, table
 
 #: (bytes up to, least ratio, most ratio) of whole documents; the last band has no end. Prose reaches
 #: 0.73 up to 1 KB, 0.58 up to 8 KB, 0.45 above and 0.48 in chunks; random base64 words have 0.86, 0.76, 0.73 and 0.72 at 400 B, 1, 8 and 20 KB.
@@ -67,6 +67,7 @@ def out_of_band(size: int, ratio: float) -> bool:
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
+    forget()
     packer = zstandard.ZstdCompressor(level=LEVEL)
     for batch in batches:
         rows = []

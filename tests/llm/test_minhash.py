@@ -64,6 +64,56 @@ def test_crowded_bucket_of_strangers(spark, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) == 30
 
 
+def drifting(seed, n, step, words=120):
+    """Texts each of which differs from the one before in a few words: neighbours are near, others are not."""
+    rng = random.Random(seed)
+    text = prose(seed, words).split()
+    for _ in range(n):
+        yield " ".join(text)
+        for i in rng.sample(range(words), step):
+            text[i] = "".join(rng.choice("klmnopqrst") for _ in range(6))
+
+
+def filled(seed, n, words=120, blanks=18):
+    """Texts of one template, with words of their own in its blanks: alike, but not near."""
+    rng = random.Random(seed)
+    form, at = prose(seed, words).split(), sorted(rng.sample(range(words), blanks))
+    for _ in range(n):
+        text = list(form)
+        for i in at:
+            text[i] = "".join(rng.choice("uvwxyz") for _ in range(7))
+        yield " ".join(text)
+
+
+def test_chains_and_templates_in_large_clusters(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", 8)
+    monkeypatch.setattr(minhash, "MOST_TILE", 8)
+    monkeypatch.setattr(minhash, "COARSE", 0.2)  # templates hang together by signatures
+    monkeypatch.setattr(minhash, "CLOSE", 0.55)
+    texts = [*drifting(1, 40, 3), *filled(2, 50), *drifting(3, 25, 2), *near_copies(prose(4, 160), 60, 7, 1)]
+    rows = list(enumerate(texts, 100))
+    random.Random(3).shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents(spark, rows), 4, 80).collect()}
+    want = brute(rows, 4, 80)
+    assert got == want and len({want[i][1] for i in range(100, 140)}) < 5 and len({want[i][1] for i in range(140, 190)}) == 50
+
+
+def test_recall_past_leaders():
+    """Of pairs at 0.8 that share a bucket with a leader between them, hardly any is parted."""
+    rng, a = np.random.default_rng(4), minhash.multipliers()
+    parted = 0
+    for _ in range(200):
+        x = rng.integers(0, 2**63, 450, dtype=np.uint64)
+        one, other = x[:400], x[50:]  # 350 of 450 shared: 0.78
+        lead = np.concatenate([x[:220], rng.integers(0, 2**63, 180, dtype=np.uint64)])
+        s = [((minhash.signature(v, a) * minhash._M1) >> minhash.U64(56)).astype(np.uint8) for v in (one, other, lead)]
+        agree = lambda i, j: (s[i] == s[j]).mean()
+        together = min(agree(0, 2), agree(1, 2)) >= minhash.COARSE
+        compared = max(agree(0, 2), agree(1, 2)) < minhash.CLOSE and agree(0, 1) >= minhash.COARSE
+        parted += not (together or compared)
+    assert parted == 0
+
+
 def test_awkward_rows(spark):
     out = minhash.near_duplicates(documents(spark, AWKWARD)).collect()
     assert len(out) == len(AWKWARD)
