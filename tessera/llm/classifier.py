@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, spread, table
+from .common import bounded, forget, spread, table
 
 #: Texts sampled for training, about, half of each posterior class where there are enough; fewer where their features would take more than SAMPLE_BYTES on the driver.
 SAMPLE, SAMPLE_BYTES = 4000, 200 << 20
@@ -247,7 +247,7 @@ def kept_rows(docs: DataFrame, scorer: Scorer, least: float = LEAST) -> DataFram
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(t.as_py() or b"") >= least for t in batch["text"].cast(pa.binary())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def op9_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

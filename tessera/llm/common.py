@@ -29,8 +29,20 @@ SMALL = 1 << 18
 _scratch: list[tuple[SparkSession, str]] = []
 
 
+#: Bytes of a batch of rows that goes to a Python worker, where the session does not set them; Spark's own default is 64 MB, for which buffers of 128 MB a task are made.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands rows to Python workers in batches of bounded bytes, however long the texts."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, "1") == "1":  # what is given here comes back if it is not set
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,7 +70,7 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
 
 def written(df: DataFrame, kind: str = "table") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, computes once, outlives executors."""
-    spark = df.sparkSession
+    spark = bounded(df).sparkSession
     path = scratch_path(spark, kind)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -66,7 +78,7 @@ def written(df: DataFrame, kind: str = "table") -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt out anew if it is read in fewer parts than there are cores, as a small table in one file is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = bounded(df).sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

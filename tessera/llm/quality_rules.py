@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import forget, spread, table
+from .common import bounded, forget, spread, table
 
 #: (bytes up to, least ratio, most ratio) of whole documents; the last band has no end. Prose reaches
 #: 0.73 up to 1 KB, 0.58 up to 8 KB, 0.45 above and 0.48 in chunks; random base64 words have 0.86, 0.76, 0.73 and 0.72 at 400 B, 1, 8 and 20 KB.
@@ -106,7 +106,7 @@ def kept_rows(docs: DataFrame) -> DataFrame:
             verdict = pa.Table.from_batches(_judge([batch.select(["doc_id", "text"])]))["kept"]
             yield batch.filter(verdict.combine_chunks() if verdict.num_chunks else pa.array([], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
