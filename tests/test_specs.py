@@ -129,6 +129,18 @@ def test_calendar_addition(spark, unit, cases):
     assert want == {i: D.fromisoformat(d) + unit(k) for i, (d, k, _) in enumerate(cases)}
 
 
+OUTSIDE = [("2000-01-01", years, 8000), ("2000-01-01", years, -2000), ("2001-08-01", years, 8000), ("2000-01-01", months, 12 * 8000), ("2000-01-01", months, -12 * 3000), ("2000-01-01", days, 366 * 8000), ("2000-01-01", days, 1_500_000_000), ("9999-12-31", days, 1), ("0001-01-01", days, -1), ("9999-12-01", months, 1)]
+INSIDE = [("1999-12-31", years, 8000, "9999-12-31"), ("2000-01-01", years, 7999, "9999-01-01"), ("2000-01-01", months, 12 * 8000 - 1, "9999-12-01"), ("9999-10-31", months, 1, "9999-12-01"), ("9999-12-30", days, 1, "9999-12-31"), ("0001-01-02", days, -1, "0001-01-01")]
+
+
+def test_dates_end_with_the_year_9999(spark):
+    """What lies beyond is null, as in the reference (test_run_with_handles_date_errors): no date that Python could not read."""
+    for unit in (days, months, years):
+        rows = [(d, k, None) for d, u, k in OUTSIDE if u is unit] + [(d, k, D.fromisoformat(x)) for d, u, k, x in INSIDE if u is unit]
+        r = results(spark, "patient_id|d1|i1\n" + "\n".join(f"{i}|{d}|{k}" for i, (d, k, _) in enumerate(rows)), out=p.d1 + unit(p.i1), back=p.d1 - unit(-p.i1))
+        assert r["out"] == {i: x for i, (*_, x) in enumerate(rows)} == r["back"]
+
+
 def test_date_differences(spark):
     rows = """patient_id|d1|d2
         1|2004-02-29|2005-02-28
